@@ -27,9 +27,8 @@ JPEG_MODES = {1: "L", 3: "RGB", 4: "CMYK"}
 BMP_MODES = {1: "1", 4: "P", 8: "P", 16: "RGB", 24: "RGB", 32: "RGB"}
 PGM_HEADER = r"^P[25](?:\s+(?:#[^\n]*\n)?)+(\d+)(?:\s+(?:#[^\n]*\n)?)+(\d+)(?:\s+(?:#[^\n]*\n)?)+(\d+)\s"
 
-HEADER_TYPE = T.StructType(
+FRAME_TYPE = T.StructType(
     [
-        T.StructField("kind", T.StringType()),
         T.StructField("width", T.IntegerType()),
         T.StructField("height", T.IntegerType()),
         T.StructField("mode", T.StringType()),
@@ -152,7 +151,7 @@ def jpeg_size(data: bytes) -> tuple[int, int, str] | None:
     return None
 
 
-@F.pandas_udf("struct<width:int,height:int,mode:string>")
+@F.pandas_udf(FRAME_TYPE)
 def _jpeg_header(content: pd.Series) -> pd.DataFrame:
     rows = [None if c is None else jpeg_size(bytes(c)) for c in content]
     return pd.DataFrame(

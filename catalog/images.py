@@ -116,7 +116,7 @@ def _(t):
 
 @query(
     "join_images_left_default",
-    """SELECT p_partkey, CASE WHEN vec_id IS NULL THEN 0.0 ELSE round(s, 4) END AS pixel_sum FROM part
+    """SELECT p_partkey, CASE WHEN vec_id IS NULL THEN 0.0 ELSE round(s, 2) END AS pixel_sum FROM part
 LEFT JOIN (SELECT vec_id, sum(v) AS s FROM k_gray GROUP BY vec_id) g ON p_partkey = vec_id""",
 )
 def _(t):
@@ -127,7 +127,7 @@ def _(t):
         t.part.select("p_partkey"), images, "p_partkey", "image", 64
     )
     total = F.aggregate("image", F.lit(0.0), lambda a, v: a + v.cast("double"))
-    return joined.select("p_partkey", F.round(total, 4).alias("pixel_sum"))
+    return joined.select("p_partkey", F.round(total, 2).alias("pixel_sum"))
 
 
 @query(
@@ -153,7 +153,7 @@ def _(t):
     return joined.select("row_id", F.hex("image_bytes").alias("bytes"))
 
 
-@query("load_image_gray", "SELECT vec_id, pos, round(v, 5) AS v FROM k_gray")
+@query("load_image_gray", "SELECT vec_id, pos, round(CAST(CAST(v AS FLOAT) AS DOUBLE), 5) AS v FROM k_gray")
 def _(t):
     images = pixels.load_image_gray(gray_files(t), "vec_id", size=(8, 8))
     return images.select("vec_id", F.posexplode("image").alias("pos", "v")).select(
@@ -163,9 +163,10 @@ def _(t):
 
 @query(
     "image_features",
-    """SELECT vec_id, CAST(0 AS BIGINT) AS pos, round(avg(v), 5) AS v FROM k_gray GROUP BY vec_id
-UNION ALL SELECT vec_id, 1, round(stddev_pop(v), 5) FROM k_gray GROUP BY vec_id
-UNION ALL SELECT vec_id, 2 + (pos // 16) * 4 + (pos % 8) // 2, round(avg(v), 5) FROM k_gray GROUP BY vec_id, (pos // 16) * 4 + (pos % 8) // 2""",
+    """SELECT vec_id, CAST(0 AS BIGINT) AS pos, round(CAST(CAST(avg(v) AS FLOAT) AS DOUBLE), 5) AS v FROM k_gray GROUP BY vec_id
+UNION ALL SELECT vec_id, 1, round(CAST(CAST(stddev_pop(v) AS FLOAT) AS DOUBLE), 5) FROM k_gray GROUP BY vec_id
+UNION ALL SELECT vec_id, 2 + cell, round(CAST(CAST(avg(v) AS FLOAT) AS DOUBLE), 5)
+FROM (SELECT vec_id, (pos // 16) * 4 + (pos % 8) // 2 AS cell, v FROM k_gray) c GROUP BY vec_id, cell""",
 )
 def _(t):
     images = pixels.load_image_gray(gray_files(t), "vec_id", size=(8, 8), features=True)
@@ -176,7 +177,7 @@ def _(t):
 
 @query(
     "gray_to_rgb",
-    "SELECT vec_id, pos * 3 + c AS pos, round(v, 5) AS v FROM k_gray, range(3) r(c)",
+    "SELECT vec_id, pos * 3 + c AS pos, round(CAST(CAST(v AS FLOAT) AS DOUBLE), 5) AS v FROM k_gray, range(3) r(c)",
 )
 def _(t):
     images = pixels.load_image_gray(gray_files(t), "vec_id", size=(8, 8))

@@ -10,6 +10,8 @@ from sievelight.functions import codes, paths
 from sievelight.functions.numbers import percent
 from sievelight.operators import counts, encode, image_checks, reports, shaping, split, text_checks
 
+from sievelight.plans.quality import run_quality
+
 
 def pairs(column):
     """A ``value -> count`` map as one text, sorted by value."""
@@ -382,10 +384,8 @@ SELECT (SELECT count(*) FROM k_flagged) AS total_raw, CAST(total AS BIGINT) AS t
 
 @query("run_summary", RUN_SUMMARY_SQL)
 def _(t):
-    rows = flagged(t).select("id", "label", "text_valid", "img_valid", "text_is_duplicate")
-    clean = shaping.clean_filter(rows)
-    parts = split.split_three_way_ratio(clean, "label", "id")
-    summary = reports.run_summary(rows, clean, parts, "label").drop("generated_at")
+    run = run_quality(t.samples, image_files=t.sample_files, jpeg=False, full=False)
+    summary = run.summary.drop("generated_at")
     return summary.withColumns(
         {"splits": pairs(F.col("splits")), "label_distribution": pairs(F.col("label_distribution"))}
     )

@@ -27,9 +27,9 @@ def decode(code: Column, names: Sequence[str]) -> Column:
     return F.get(F.array(*[F.lit(n) for n in names]), code.cast("int"))
 
 
-def one_hot(code: Column, width: Column | int) -> Column:
+def one_hot(code: Column, width: int) -> Column:
     """Vector of ``width`` numbers with 1.0 at position ``code``."""
-    positions = F.sequence(F.lit(0), (F.lit(width) if isinstance(width, int) else width) - 1)
+    positions = F.sequence(F.lit(0), F.lit(width - 1))
     return F.transform(positions, lambda i: (i == code).cast("double"))
 
 

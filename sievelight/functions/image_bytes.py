@@ -6,6 +6,7 @@ Only JPEG needs a Python worker: its header is a chain of segments whose lengths
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,6 +19,8 @@ PNG_END = "0000000049454E44AE426082"
 JPEG_START = "FFD8FF"
 BMP_START = "424D"
 WEBP_TAG = "57454250"
+UNREADABLE = "cannot identify image file"
+INCOMPLETE = "image file is truncated or broken"
 PNG_MODES = {
     "0:1": "1", "0:2": "L", "0:4": "L", "0:8": "L", "0:16": "I;16",
     "2:8": "RGB", "2:16": "RGB", "3:1": "P", "3:2": "P", "3:4": "P", "3:8": "P",
@@ -36,6 +39,15 @@ FRAME_TYPE = T.StructType(
 )
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row.
+
+    A column mentioned n times is n copies for the optimiser when a filter is pushed below it; a
+    lambda variable is one.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _hex(content: Column, start: int, length: int) -> Column:
     return F.hex(F.substring(content, start, length))
 
@@ -180,7 +192,10 @@ def header(content: Column, jpeg: bool = True) -> Column:
             is_jpeg,
             _header("jpeg", frame["width"], frame["height"], frame["mode"]),
         )
-    return F.when((found["width"] > 0) & (found["height"] > 0) & found["mode"].isNotNull(), found)
+    return let(
+        found,
+        lambda h: F.when((h["width"] > 0) & (h["height"] > 0) & h["mode"].isNotNull(), h),
+    )
 
 
 def whole(content: Column, kind: Column) -> Column:
@@ -199,3 +214,26 @@ def whole(content: Column, kind: Column) -> Column:
         .otherwise(kind.isNotNull()),
         F.lit(False),
     )
+
+
+def check(content: Column, jpeg: bool = True, full: bool = True) -> Column:
+    """``struct<width,height,mode,is_corrupt,problem>`` of a file's bytes.
+
+    ``full`` also checks that the file is complete.
+    """
+
+    def checked(h: Column) -> Column:
+        complete = whole(content, h["kind"]) if full else F.lit(True)
+        problem = F.when(h.isNull(), F.lit(UNREADABLE)).when(~complete, F.lit(INCOMPLETE))
+        return let(
+            problem,
+            lambda p: F.struct(
+                F.when(p.isNull(), h["width"]).alias("width"),
+                F.when(p.isNull(), h["height"]).alias("height"),
+                F.when(p.isNull(), h["mode"]).alias("mode"),
+                p.isNotNull().alias("is_corrupt"),
+                p.alias("problem"),
+            ),
+        )
+
+    return let(header(content, jpeg), checked)

@@ -65,8 +65,9 @@ def encode_mias(df: DataFrame, birads: str = "BI-RADS") -> DataFrame:
 
 def one_hot(df: DataFrame, code: str, out: str, width: int | None = None) -> DataFrame:
     """One-hot array; the width is the largest code + 1 unless given."""
-    size = df.agg(F.max(code) + 1).scalar() if width is None else width
-    return df.withColumn(out, codes.one_hot(F.col(code), size))
+    if width is None:
+        width = (df.agg(F.max(code)).first()[0] or 0) + 1
+    return df.withColumn(out, codes.one_hot(F.col(code), width))
 
 
 @dataclass(frozen=True)

@@ -16,31 +16,20 @@ TOO_BIG = "Quá lớn: "
 TOO_SMALL = "Quá nhỏ: "
 AT_LEAST = " (tối thiểu "
 CORRUPT = "Corrupt: "
-UNREADABLE = "cannot identify image file"
-INCOMPLETE = "image file is truncated or broken"
+
+
+HEADER_COLUMNS = ("width", "height", "mode", "is_corrupt", "problem")
 
 
 def image_header(
     df: DataFrame, content: str = "content", jpeg: bool = True, full: bool = True
 ) -> DataFrame:
-    """Add ``width, height, mode, is_corrupt, problem`` and drop nothing.
+    """Add ``width, height, mode, is_corrupt, problem``.
 
     ``full`` also checks that the file is complete. Project the bytes away before any shuffle.
     """
-    bytes_ = F.col(content)
-    df = df.withColumn("_h", image_bytes.header(bytes_, jpeg))
-    complete = image_bytes.whole(bytes_, F.col("_h.kind")) if full else F.lit(True)
-    problem = F.when(F.col("_h").isNull(), F.lit(UNREADABLE)).when(~complete, F.lit(INCOMPLETE))
-    df = df.withColumn("problem", problem)
-    fine = F.col("problem").isNull()
-    return df.withColumns(
-        {
-            "width": F.when(fine, F.col("_h.width")),
-            "height": F.when(fine, F.col("_h.height")),
-            "mode": F.when(fine, F.col("_h.mode")),
-            "is_corrupt": ~fine,
-        }
-    ).drop("_h")
+    checked = df.withColumn("_c", image_bytes.check(F.col(content), jpeg, full))
+    return checked.select(*df.columns, *[F.col(f"_c.{c}") for c in HEADER_COLUMNS])
 
 
 def _size_text(width: Column, height: Column) -> Column:
@@ -52,66 +41,53 @@ def validate_image_files(
 ) -> DataFrame:
     """Ten-field record per file of a ``binaryFile`` scan (``path, length, content``)."""
     min_w, min_h = cfg.min_image_size
-    checked = image_header(
-        files.select("path", "length", "content"), "content", jpeg, full
-    ).withColumn("size_mb", paths.size_mb(F.col("length")))
-    errors = F.array_compact(
-        F.array(
-            F.when(
-                F.col("size_mb") > cfg.max_image_size_mb,
-                F.concat(F.lit(TOO_BIG), F.col("size_mb").cast("string"), F.lit(" MB")),
-            ),
-            F.when(
-                (F.col("width") < min_w) | (F.col("height") < min_h),
-                F.concat(
-                    F.lit(TOO_SMALL),
-                    _size_text(F.col("width"), F.col("height")),
-                    F.lit(f"{AT_LEAST}{min_w}x{min_h})"),
-                ),
-            ),
-            F.when(F.col("is_corrupt"), F.concat(F.lit(CORRUPT), F.col("problem"))),
+    size_mb = paths.size_mb(F.col("length"))
+
+    def record(c: Column) -> Column:
+        too_big = F.concat(F.lit(TOO_BIG), size_mb.cast("string"), F.lit(" MB"))
+        too_small = F.concat(
+            F.lit(TOO_SMALL), _size_text(c["width"], c["height"]), F.lit(f"{AT_LEAST}{min_w}x{min_h})")
         )
-    )
-    record = checked.select(
+        errors = F.array(
+            F.when(size_mb > cfg.max_image_size_mb, too_big),
+            F.when((c["width"] < min_w) | (c["height"] < min_h), too_small),
+            F.when(c["is_corrupt"], F.concat(F.lit(CORRUPT), c["problem"])),
+        )
+        return c.withField("errors", F.array_compact(errors))
+
+    checked = image_bytes.check(F.col("content"), jpeg, full)
+    records = files.withColumn("_r", image_bytes.let(checked, record))
+    return records.select(
         F.col("path").alias("filepath"),
         paths.basename(F.col("path")).alias("filename"),
         paths.suffix(F.col("path")).alias("format"),
-        "size_mb",
-        "width",
-        "height",
-        "mode",
-        "is_corrupt",
-        errors.alias("errors"),
+        size_mb.alias("size_mb"),
+        *[F.col(f"_r.{c}") for c in ("width", "height", "mode", "is_corrupt", "errors")],
+        (F.size("_r.errors") == 0).alias("is_valid"),  # a corrupt file has an error too
     )
-    return record.withColumn("is_valid", ~F.col("is_corrupt") & (F.size("errors") == 0))
 
 
-def _row_columns(df: DataFrame, cfg: Config) -> DataFrame:
-    """The six ``img_`` columns from ``_has_blob, _has_path, _found`` and the header columns."""
+CHECK_TYPE = "struct<width:int,height:int,mode:string,is_corrupt:boolean,problem:string>"
+ROW_COLUMNS = ("img_width", "img_height", "img_mode", "img_corrupt", "img_error", "img_valid")
+
+
+def _row_record(c: Column, given: Column, cfg: Config) -> Column:
+    """The ``img_`` fields of a row from its checked header, null when no file was opened."""
     min_w, min_h = cfg.min_image_size
-    given = F.col("_has_blob") | F.col("_has_path")
-    opened = F.col("_has_blob") | (F.col("_has_path") & F.col("_found"))
-    small = (F.col("width") < min_w) | (F.col("height") < min_h)
+    small = (c["width"] < min_w) | (c["height"] < min_h)
     error = (
         F.when(~given, F.lit(NO_IMAGE))
-        .when(~opened, F.lit(NO_FILE))
-        .when(F.col("is_corrupt"), F.substring(F.col("problem"), 1, 80))
-        .when(small, F.concat(F.lit(TOO_SMALL), _size_text(F.col("width"), F.col("height"))))
+        .when(c.isNull(), F.lit(NO_FILE))
+        .when(c["is_corrupt"], F.substring(c["problem"], 1, 80))
+        .when(small, F.concat(F.lit(TOO_SMALL), _size_text(c["width"], c["height"])))
     )
-    df = df.withColumns(
-        {
-            "img_width": F.col("width"),
-            "img_height": F.col("height"),
-            "img_mode": F.col("mode"),
-            "img_corrupt": opened & F.coalesce(F.col("is_corrupt"), F.lit(False)),
-            "img_error": error,
-        }
+    return F.struct(
+        c["width"].alias("img_width"),
+        c["height"].alias("img_height"),
+        c["mode"].alias("img_mode"),
+        F.coalesce(c["is_corrupt"], F.lit(False)).alias("img_corrupt"),
+        error.alias("img_error"),
     )
-    return df.withColumn("img_valid", F.col("img_error").isNull() & ~F.col("img_corrupt"))
-
-
-_HEADER = ("width", "height", "mode", "is_corrupt", "problem")
-ROW_COLUMNS = ("img_width", "img_height", "img_mode", "img_corrupt", "img_error", "img_valid")
 
 
 def validate_image_rows(
@@ -130,30 +106,31 @@ def validate_image_rows(
     """
     blob, path = cfg.image_bytes_column, cfg.image_path_column
     has_blob = bool(blob) and blob in df.columns
-    has_path = bool(path) and path in df.columns and files is not None
-    path_given = F.col(path).isNotNull() if path and path in df.columns else F.lit(False)
-    rows = df.withColumns(
-        {
-            "_has_blob": F.col(blob).isNotNull() if has_blob else F.lit(False),
-            "_has_path": path_given,
-        }
-    )
+    has_path = bool(path) and path in df.columns
+    rows, given, found = df, F.lit(False), []
     if has_blob:
-        rows = image_header(rows, blob, jpeg, full)
-        rows = rows.withColumn("_b", F.struct(*_HEADER)).drop(*_HEADER)
+        checked = image_bytes.check(F.col(blob), jpeg, full)
+        rows = rows.withColumn("_b", F.when(F.col(blob).isNotNull(), checked))
+        given, found = given | F.col(blob).isNotNull(), [F.col("_b")]
     if has_path:
-        headers = image_header(files.select(file_key, "content"), "content", jpeg, full).select(
-            F.col(file_key).alias(path), F.struct(*_HEADER).alias("_f")
-        )
-        rows = salted_join(rows, headers, path, "left")
-    none = F.lit(None).cast("struct<width:int,height:int,mode:string,is_corrupt:boolean,problem:string>")
-    blob_header = F.when(F.col("_has_blob"), F.col("_b")) if has_blob else none
-    file_header = F.col("_f") if has_path else none
-    picked = rows.withColumn("_found", file_header.isNotNull()).withColumn(
-        "_h", F.coalesce(blob_header, file_header)
+        given = given | F.col(path).isNotNull()
+        if files is not None:
+            headers = files.select(
+                F.col(file_key).alias(path),
+                image_bytes.check(F.col("content"), jpeg, full).alias("_f"),
+            )
+            rows = salted_join(rows, headers, path, "left")
+            found.append(F.col("_f"))
+    no_header = F.lit(None).cast(CHECK_TYPE)
+    picked = rows.withColumn(
+        "_i",
+        image_bytes.let(F.coalesce(*found, no_header), lambda c: _row_record(c, given, cfg)),
+    )
+    return picked.select(
+        *df.columns,
+        *[F.col(f"_i.{c}") for c in ROW_COLUMNS[:-1]],
+        F.col("_i.img_error").isNull().alias("img_valid"),  # a corrupt image has an error too
     )
-    fields = picked.withColumns({name: F.col(f"_h.{name}") for name in _HEADER})
-    return _row_columns(fields, cfg).select(*df.columns, *ROW_COLUMNS)
 
 
 def image_duplicates(files: DataFrame, content: str = "content") -> DataFrame:

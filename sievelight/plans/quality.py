@@ -48,13 +48,20 @@ class QualityRun:
 
 
 def flag_rows(
-    df: DataFrame, key: str | Sequence[str], cfg: Config, image_files: DataFrame | None = None
+    df: DataFrame,
+    key: str | Sequence[str],
+    cfg: Config,
+    image_files: DataFrame | None = None,
+    jpeg: bool = True,
+    full: bool = True,
 ) -> DataFrame:
     """Text and image flags on every row; a check whose column is absent is skipped."""
     flagged = text_checks.validate_text_ml(df, cfg.text_column, key, cfg)
     path, blob = cfg.image_path_column, cfg.image_bytes_column
     if (path and path in df.columns) or (blob and blob in df.columns):
-        flagged = image_checks.validate_image_rows(flagged, image_files, "path", cfg)
+        flagged = image_checks.validate_image_rows(
+            flagged, image_files, "path", cfg, jpeg, full
+        )
     return flagged
 
 
@@ -63,13 +70,15 @@ def run_quality(
     cfg: Config = Config(),
     image_files: DataFrame | None = None,
     key: str | Sequence[str] | None = None,
+    jpeg: bool = True,
+    full: bool = True,
 ) -> QualityRun:
     """Flag the rows once, write them to the shared folder, and derive everything from that table.
 
     ``key`` names the unique row key; after a union of sources give ``("_source", id)``.
     """
     key = key or cfg.id_column
-    flagged = written(flag_rows(df, key, cfg, image_files), "flagged")
+    flagged = written(flag_rows(df, key, cfg, image_files, jpeg, full), "flagged")
     clean = shaping.clean_filter(flagged)
     label = cfg.label_column
     splits, encoded = None, clean

@@ -201,9 +201,9 @@ def header(content: Column, jpeg: bool = True) -> Column:
 def whole(content: Column, kind: Column) -> Column:
     """True when the file is complete: header checksum, end marker or stated length."""
     size = F.octet_length(content)
-    tail = F.hex(F.right(content, F.lit(12)))
+    tail = F.hex(F.substring(content, -12, 12))
     png = (F.crc32(F.substring(content, 13, 17)) == _big(content, 30, 4)) & (tail == PNG_END)
-    jpeg = F.hex(F.right(content, F.lit(2))) == "FFD9"
+    jpeg = F.hex(F.substring(content, -2, 2)) == "FFD9"
     bmp = _little(content, 3, 4) <= size
     webp = _little(content, 5, 4) + 8 <= size
     return F.coalesce(

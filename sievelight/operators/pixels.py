@@ -121,9 +121,10 @@ def _images(
                     flat = pooled(scaled) if features else scaled.ravel()
                     keys.append(row_key)
                     values.append(flat.astype(np.float32))
-                yield pd.DataFrame(
-                    {key: keys, out: values, "height": height, "width": width, "channels": channels}
-                )
+                if keys:
+                    yield pd.DataFrame(
+                        {key: keys, out: values, "height": height, "width": width, "channels": channels}
+                    )
 
     return df.select(key, payload).mapInPandas(run, schema)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,10 @@ from pyspark.sql import functions as F
 
 from sievelight.config import Config
 from sievelight.functions import paths
+from sievelight.operators.lookup import salted_join
+from sievelight.sources.files import exists
+
+SCAN_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
@@ -21,15 +24,31 @@ def scan_image_files(
 ) -> DataFrame:
     """``path, modificationTime, length, content`` of the files with a wanted suffix, any case.
 
-    The bytes are only read when ``content`` is used. A missing folder gives no rows.
+    The bytes are only read when ``content`` is used. A missing folder gives no rows. Spark's file
+    index leaves out files of zero bytes: add ``empty_image_files`` to have them reported as corrupt.
     """
-    if "://" not in folder and not os.path.exists(folder):
-        return spark.createDataFrame(
-            [], "path string, modificationTime timestamp, length bigint, content binary"
-        )
+    if not exists(spark, folder):
+        return spark.createDataFrame([], SCAN_SCHEMA)
     return _files(spark, folder).where(paths.suffix(F.col("path")).isin(*formats))
 
 
+def empty_image_files(
+    spark: SparkSession, folder: str, formats: Sequence[str] = Config.valid_image_formats
+) -> DataFrame:
+    """The zero-byte files that ``scan_image_files`` cannot see, in the same columns.
+
+    One listing of the folder tree from the driver; only names of empty files are kept.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listing = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
+    names = []
+    while listing.hasNext():
+        status = listing.next()
+        if status.getLen() == 0:
+            names.append((status.getPath().toString(), None, 0, b""))
+    return spark.createDataFrame(names, SCAN_SCHEMA).where(paths.suffix(F.col("path")).isin(*formats))
+
+
 def scan_counts(
     spark: SparkSession, folder: str, formats: Sequence[str] = Config.valid_image_formats
 ) -> DataFrame:
@@ -69,8 +88,6 @@ def read_image_blob(
 
     Rows with a blob do not take part in the join.
     """
-    from sievelight.operators.lookup import salted_join
-
     wanted = df.withColumn("_path", F.when(F.col(blob).isNull(), F.col(path)))
     contents = files.select(F.col("path").alias("_path"), F.col("content").alias("_content"))
     joined = salted_join(wanted, contents, "_path", "left")

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from catalog.views import CHECK_CTES, TABLES, VIEWS
+from sievelight.session import spread_small
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,7 +22,7 @@ class Tables:
         self.sf_dir = sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread_small(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
 
     def view(self, name: str) -> DataFrame:
         text = VIEWS[name]

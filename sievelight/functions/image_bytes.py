@@ -6,13 +6,14 @@ Only JPEG needs a Python worker: its header is a chain of segments whose lengths
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievelight.functions.binding import let
+
 # First bytes of the known formats, and pixel modes by the header's colour codes.
 PNG_START = "89504E470D0A1A0A0000000D49484452"
 PNG_END = "0000000049454E44AE426082"
@@ -39,15 +40,6 @@ FRAME_TYPE = T.StructType(
 )
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once per row.
-
-    A column mentioned n times is n copies for the optimiser when a filter is pushed below it; a
-    lambda variable is one.
-    """
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _hex(content: Column, start: int, length: int) -> Column:
     return F.hex(F.substring(content, start, length))
 

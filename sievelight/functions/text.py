@@ -5,16 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The whitespace of Python strings (strip, split and \s agree on it), the letters and
-# digits that make a text more than symbols, and the words of the TF-IDF tokeniser.
-WHITESPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# The whitespace of Python strings (strip, split and \s agree on it) as characters and
+# as a pattern, the letters and digits that make a text more than symbols, and the words of the TF-IDF
+# tokeniser.
+SPACES = "".join(
+    map(
+        chr,
+        [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B)]
+        + [0x2028, 0x2029, 0x202F, 0x205F, 0x3000],
+    )
+)
+WHITESPACE = r"(?U)[\s\x1c-\x1f]"
 LETTER_OR_DIGIT = r"[a-zA-Z0-9\u00C0-\u024F]"
 WORD = r"[\p{L}\p{N}_]{2,}"
 
 
 def strip(text: Column) -> Column:
     """Drop whitespace at both ends. Spark's ``trim`` only drops plain spaces."""
-    return F.regexp_replace(text, f"^{WHITESPACE}+|{WHITESPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def collapse_whitespace(text: Column) -> Column:
@@ -23,8 +31,7 @@ def collapse_whitespace(text: Column) -> Column:
 
 
 def strip_and_collapse(text: Column) -> Column:
-    """Both of the above with one regex pass: after it, only plain spaces can stand at the ends."""
-    return F.trim(collapse_whitespace(text))
+    return collapse_whitespace(strip(text))
 
 
 def char_length(text: Column) -> Column:

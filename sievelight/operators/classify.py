@@ -40,9 +40,9 @@ def train_classifier(
     """Fit a softmax classifier on an array column: two hidden layers, or none with ``linear``.
 
     Training is distributed: each iteration sums gradients over the partitions. ``epochs`` bounds the
-    iterations.
+    iterations. The vectors stay in memory, or on disk where they do not fit, for the iterations.
     """
-    rows = _ready(train, features, label).select(_VECTOR, "_label")
+    rows = _ready(train, features, label).select(_VECTOR, "_label").persist()
     if linear:
         stage = LogisticRegression(
             featuresCol=_VECTOR, labelCol="_label", family="multinomial", maxIter=epochs,
@@ -56,7 +56,9 @@ def train_classifier(
             maxIter=epochs, seed=seed, predictionCol="_prediction",
             probabilityCol="_probability", rawPredictionCol="_raw",
         )
-    return Pipeline(stages=[stage]).fit(rows)
+    model = Pipeline(stages=[stage]).fit(rows)
+    rows.unpersist()
+    return model
 
 
 def predict_proba(

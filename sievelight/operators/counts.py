@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievelight.functions.binding import let
 from sievelight.functions.numbers import percent
 
 
@@ -120,17 +121,18 @@ def histogram_bins(df: DataFrame, column: str, bins: int) -> DataFrame:
     def edge(i: Column) -> Column:
         return lo + i * ((hi - lo) / n)
 
-    placed = (
-        df.where(F.col(column).isNotNull())
-        .select(x.alias("_x"))
-        .withColumn("_span", span.scalar())
-        .withColumn("_i", F.least(F.floor((F.col("_x") - lo) / (hi - lo) * n), F.lit(bins - 1)))
-        .withColumn("_i", F.col("_i") - (F.col("_x") < edge(F.col("_i"))).cast("bigint"))
-        .withColumn(
-            "_i",
-            F.col("_i")
-            + ((F.col("_x") >= edge(F.col("_i") + 1)) & (F.col("_i") < bins - 1)).cast("bigint"),
+    def place(value: Column) -> Column:
+        """Bin by division, then moved by one where rounding put the value across an edge."""
+        guess = F.least(F.floor((value - lo) / (hi - lo) * n), F.lit(bins - 1))
+        lowered = let(guess, lambda i: i - (value < edge(i)).cast("bigint"))
+        return let(
+            lowered, lambda i: i + ((value >= edge(i + 1)) & (i < bins - 1)).cast("bigint")
         )
+
+    # Rows without a value get bin -1, which no bin joins: a filter on the value, or on a bin that
+    # can be null, would be pushed down and repeat whatever computes the column.
+    placed = df.select(x.alias("_x")).withColumn("_span", span.scalar()).select(
+        F.coalesce(let(F.col("_x"), place), F.lit(-1)).alias("_i")
     )
     counts = placed.groupBy(F.col("_i").alias("bin")).agg(F.count(F.lit(1)).alias("_n"))
     return (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievelight.config import Config
 from sievelight.functions import image_bytes, paths
+from sievelight.functions.binding import let
 from sievelight.operators.lookup import salted_join
 
 # Messages in the reports.
@@ -56,7 +57,7 @@ def validate_image_files(
         return c.withField("errors", F.array_compact(errors))
 
     checked = image_bytes.check(F.col("content"), jpeg, full)
-    records = files.withColumn("_r", image_bytes.let(checked, record))
+    records = files.withColumn("_r", let(checked, record))
     return records.select(
         F.col("path").alias("filepath"),
         paths.basename(F.col("path")).alias("filename"),
@@ -124,7 +125,7 @@ def validate_image_rows(
     no_header = F.lit(None).cast(CHECK_TYPE)
     picked = rows.withColumn(
         "_i",
-        image_bytes.let(F.coalesce(*found, no_header), lambda c: _row_record(c, given, cfg)),
+        let(F.coalesce(*found, no_header), lambda c: _row_record(c, given, cfg)),
     )
     return picked.select(
         *df.columns,

@@ -12,6 +12,7 @@ from sievelight.functions import codes
 from sievelight.operators.classify import predict_proba
 from sievelight.operators.metrics import true_class
 from sievelight.operators.ranking import add_rank, shuffle_key
+from sievelight.session import written
 
 
 def permuted(
@@ -63,10 +64,10 @@ def permutation_importance(
     """``(feature, importance, std)``: mean and deviation of the accuracy lost by shuffling a feature.
 
     ``names`` are the first features of the array; the rest (image features) stay as they are: give
-    zeros there to score the table alone.
+    zeros there to score the table alone. The rows are written once, as five branches read them.
     """
     width = len(names)
-    base_rows = df.select(key, label, features)
+    base_rows = written(df.select(key, label, features), "importance")
 
     def accuracy(rows: DataFrame, by: Sequence[str]) -> DataFrame:
         scored = predict_proba(model, rows, features, "_p")

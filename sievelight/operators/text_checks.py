@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sievelight.config import Config
 from sievelight.functions import text as fn
+from sievelight.functions.binding import let
 
 Key = str | Sequence[str]
 
@@ -51,46 +52,64 @@ def drop_copies(df: DataFrame, text_col: str, key: Key) -> DataFrame:
     )
 
 
-def clean_columns(df: DataFrame, text_col: str, collapse: bool) -> DataFrame:
-    """Add ``text_clean``, ``char_length`` and ``word_count`` with row-local expressions."""
-    raw = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    clean = fn.strip_and_collapse(raw) if collapse else fn.strip(raw)
-    df = df.withColumn("text_clean", clean)
-    collapsed = F.col("text_clean") if collapse else fn.collapse_whitespace(F.col("text_clean"))
-    return df.withColumns(
-        {
-            "char_length": fn.char_length(F.col("text_clean")),
-            "word_count": fn.word_count(collapsed),
-        }
-    )
-
+def checked_text(text: Column, cfg: Config, collapse: bool) -> Column:
+    """All row-local results for one text as a struct, so that the text is cleaned once per use.
 
-def length_flags(cfg: Config) -> dict[str, Column]:
-    return {
-        "is_empty": F.col("text_clean") == "",
-        "too_short": F.col("char_length") < cfg.min_text_length,
-        "too_long": F.col("char_length") > cfg.max_text_length,
-    }
+    ``collapse`` turns inner runs of whitespace into one space; without it only the ends are stripped.
+    """
+    raw = F.coalesce(text.cast("string"), F.lit(""))
+    collapsed = fn.strip_and_collapse(raw)
+
+    def measured(clean: Column, one_spaced: Column) -> Column:
+        length = fn.char_length(clean)
+        empty, short = clean == "", length < cfg.min_text_length
+        long = length > cfg.max_text_length
+        return F.struct(
+            clean.alias("text_clean"),
+            length.alias("char_length"),
+            fn.word_count(one_spaced).alias("word_count"),
+            fn.special_only(clean).alias("has_special_only"),
+            text.isNull().alias("is_null"),
+            empty.alias("is_empty"),
+            short.alias("too_short"),
+            long.alias("too_long"),
+            (text.isNotNull() & ~empty & ~short & ~long).alias("is_valid"),
+        )
+
+    if collapse:
+        return let(collapsed, lambda c: measured(c, c))
+    return let(fn.strip(raw), lambda c: measured(c, fn.collapse_whitespace(c)))
+
+
+def _checks(df: DataFrame, text_col: str, cfg: Config, collapse: bool, names: dict[str, str]) -> DataFrame:
+    """Add the named fields of ``checked_text``: ``{output column: field}``."""
+    checked = df.withColumn("_t", checked_text(F.col(text_col), cfg, collapse))
+    kept = [c for c in df.columns if c not in names]
+    return checked.select(*kept, *[F.col(f"_t.{f}").alias(c) for c, f in names.items()])
+
+
+METRICS = {"text_clean": "text_clean", "char_length": "char_length", "word_count": "word_count"}
+BASIC = {
+    **METRICS, "is_null": "is_null", "is_empty": "is_empty", "too_short": "too_short",
+    "too_long": "too_long", "is_valid": "is_valid",
+}
+ML = {
+    **METRICS, "has_special_only": "has_special_only", "text_is_null": "is_null",
+    "text_is_empty": "is_empty", "text_too_short": "too_short", "text_too_long": "too_long",
+    "text_valid": "is_valid",
+}
+
+
+def clean_columns(
+    df: DataFrame, text_col: str, collapse: bool, cfg: Config = Config()
+) -> DataFrame:
+    """Add ``text_clean``, ``char_length`` and ``word_count``."""
+    return _checks(df, text_col, cfg, collapse, METRICS)
 
 
 def row_checks_ml(df: DataFrame, text_col: str, cfg: Config = Config()) -> DataFrame:
     """The row-local part of ``validate_text_ml``; also runs on a stream."""
-    df = clean_columns(df, text_col, collapse=True)
-    flags = length_flags(cfg)
-    df = df.withColumns(
-        {
-            "has_special_only": fn.special_only(F.col("text_clean")),
-            "text_is_null": F.col(text_col).isNull(),
-            **{f"text_{name}": flag for name, flag in flags.items()},
-        }
-    )
-    bad = (
-        F.col("text_is_null")
-        | F.col("text_is_empty")
-        | F.col("text_too_short")
-        | F.col("text_too_long")
-    )
-    return df.withColumn("text_valid", ~bad)
+    return _checks(df, text_col, cfg, True, ML)
 
 
 def validate_text_ml(df: DataFrame, text_col: str, key: Key, cfg: Config = Config()) -> DataFrame:
@@ -105,11 +124,8 @@ def validate_text_basic(
     df: DataFrame, text_col: str, key: Key, cfg: Config = Config()
 ) -> DataFrame:
     """Nine columns; whitespace inside the text stays, and every member of a group is a copy."""
-    df = clean_columns(df, text_col, collapse=False)
-    df = df.withColumns({"is_null": F.col(text_col).isNull(), **length_flags(cfg)})
-    bad = F.col("is_null") | F.col("is_empty") | F.col("too_short") | F.col("too_long")
-    df = df.withColumn("is_valid", ~bad)
-    return mark_copies(df, "text_clean", key, any_="is_duplicate")
+    checked = _checks(df, text_col, cfg, False, BASIC)
+    return mark_copies(checked, "text_clean", key, any_="is_duplicate")
 
 
 def with_row_key(df: DataFrame, name: str = "row_id") -> DataFrame:

@@ -12,6 +12,7 @@ from sievelight.functions.codes import SEVERITY
 from sievelight.operators import classify, counts, encode, image_checks, impute, metrics, split
 from sievelight.operators.importance import permutation_importance
 from sievelight.operators.pixels import feature_length
+from sievelight.session import written
 
 # Class names by code, and feature names in reports.
 DIAGNOSES = tuple(SEVERITY)
@@ -96,7 +97,7 @@ def run_mammogram(
 ) -> MammogramRun:
     """Encode, split 80/20, fit on the training rows, score the test rows."""
     coded = encode.encode_mias(df, birads)
-    parts = split.split_two_way(coded, "SEVERITY_NUM", "REFNUM")
+    parts = written(split.split_two_way(coded, "SEVERITY_NUM", "REFNUM"), "mammogram_split")
     train, test = (parts.where(F.col("split") == name) for name in ("train", "test"))
     fitted = fit_table(train)
     model = classify.train_classifier(

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.registry import Tables, query
-from catalog.text import ml
 from sievelight.functions import codes, paths
 from sievelight.functions.numbers import percent
 from sievelight.operators import counts, encode, image_checks, reports, shaping, split, text_checks
 
-from sievelight.plans.quality import run_quality
+from sievelight.config import Config
+from sievelight.plans.quality import flag_rows, run_quality
 
 
 def pairs(column):
@@ -23,9 +23,7 @@ def pairs(column):
 
 def flagged(t: Tables):
     """Samples with text and image flags; the header-only files have no checksum to test."""
-    return image_checks.validate_image_rows(
-        ml(t), t.sample_files, "path", jpeg=False, full=False
-    )
+    return flag_rows(t.samples, "id", Config(), t.sample_files, jpeg=False, full=False)
 
 
 # shaping

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,12 +100,14 @@ def validate_image_rows(
     cfg: Config = Config(),
     jpeg: bool = True,
     full: bool = True,
+    key: str | Sequence[str] | None = None,
 ) -> DataFrame:
     """Add six ``img_`` columns to each row; a blob in the row wins over its path.
 
     Headers are read where the bytes are: in the row for blobs, on the scan for files. Only the few
     header fields are joined, so file bytes never go through a shuffle. ``files`` has one row per
-    ``file_key`` and a ``content`` column.
+    ``file_key`` and a ``content`` column. With a unique ``key`` of the rows, only (key, path) meet
+    the headers, and the wide rows move by key alone: once, together with any other join on it.
     """
     blob, path = cfg.image_bytes_column, cfg.image_path_column
     has_blob = bool(blob) and blob in df.columns
@@ -120,7 +124,13 @@ def validate_image_rows(
                 F.col(file_key).alias(path),
                 image_bytes.check(F.col("content"), jpeg, full).alias("_f"),
             )
-            rows = salted_join(rows, headers, path, "left")
+            if key is None:
+                rows = salted_join(rows, headers, path, "left")
+            else:
+                keys = [key] if isinstance(key, str) else list(key)
+                met = salted_join(df.select(*keys, path), headers, path, "inner")
+                columns = rows.columns
+                rows = rows.join(met.select(*keys, "_f"), keys, "left").select(*columns, "_f")
             found.append(F.col("_f"))
     no_header = F.lit(None).cast(CHECK_TYPE)
     picked = rows.withColumn(

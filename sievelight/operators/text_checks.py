@@ -15,7 +15,12 @@ Key = str | Sequence[str]
 
 
 def mark_copies(
-    df: DataFrame, text_col: str, key: Key, first: str | None = None, any_: str | None = None
+    df: DataFrame,
+    text_col: str,
+    key: Key,
+    first: str | None = None,
+    any_: str | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Flag exact copies of ``text_col``.
 
@@ -25,12 +30,14 @@ def mark_copies(
     Groups are counted by digest with map-side partial sums, so a text shared by a third of the rows
     is one counter, never one task. The result goes back by the row key, which is unique and spreads
     evenly: a row is an original exactly when its key is the first of some group.
-    ``key`` must be unique and not null.
+    ``key`` must be unique and not null. ``counted`` has the same keys and texts as ``df`` with a
+    shorter lineage; the counts are taken there, so that joins already in ``df`` do not run twice.
     """
     keys = [key] if isinstance(key, str) else list(key)
     smallest = F.min(keys[0]) if len(keys) == 1 else F.min(F.struct(*keys))
     groups = (
-        df.select(*keys, fn.digest(F.col(text_col)).alias("_digest"))
+        (df if counted is None else counted)
+        .select(*keys, fn.digest(F.col(text_col)).alias("_digest"))
         .groupBy("_digest")
         .agg(smallest.alias("_first"), F.count(F.lit(1)).alias("_copies"))
     )

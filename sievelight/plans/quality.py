@@ -55,12 +55,22 @@ def flag_rows(
     jpeg: bool = True,
     full: bool = True,
 ) -> DataFrame:
-    """Text and image flags on every row; a check whose column is absent is skipped."""
-    flagged = text_checks.validate_text_ml(df, cfg.text_column, key, cfg)
+    """Text and image flags on every row; a check whose column is absent is skipped.
+
+    The wide rows are shuffled once, by key: image headers and copy counts come to them in narrow
+    tables with the same key.
+    """
+    has_text = cfg.text_column in df.columns
+    checked = text_checks.row_checks_ml(df, cfg.text_column, cfg) if has_text else df
+    flagged = checked
     path, blob = cfg.image_path_column, cfg.image_bytes_column
     if (path and path in df.columns) or (blob and blob in df.columns):
         flagged = image_checks.validate_image_rows(
-            flagged, image_files, "path", cfg, jpeg, full
+            flagged, image_files, "path", cfg, jpeg, full, key
+        )
+    if has_text:
+        flagged = text_checks.mark_copies(
+            flagged, "text_clean", key, first="text_is_duplicate", counted=checked
         )
     return flagged
 

@@ -109,7 +109,7 @@ def _(t):
     return hot.select("REFNUM", *[F.get("hot", F.lit(i)).alias(f"h{i}") for i in range(3)])
 
 
-def _scaled_sql(columns, source, key="row_id", kind="DOUBLE") -> str:
+def scaled_sql(columns, source, key="row_id", kind="DOUBLE") -> str:
     parts = ", ".join(
         f"round((CAST({c} AS {kind})::DOUBLE - avg(CAST({c} AS {kind})::DOUBLE) OVER ()) / "
         f"(CASE WHEN stddev_pop(CAST({c} AS {kind})::DOUBLE) OVER () = 0 THEN 1 ELSE stddev_pop(CAST({c} AS {kind})::DOUBLE) OVER () END), 6) AS {c}"
@@ -118,7 +118,7 @@ def _scaled_sql(columns, source, key="row_id", kind="DOUBLE") -> str:
     return f"SELECT {key}, {parts} FROM {source}"
 
 
-@query("standard_scale_fit", _scaled_sql(LESION, "k_metadata_filled"))
+@query("standard_scale_fit", scaled_sql(LESION, "k_metadata_filled"))
 def _(t):
     filled = impute.impute_median(t.metadata, LESION)
     scaled = encode.scale(filled, encode.fit_scaler(filled, LESION))
@@ -141,7 +141,7 @@ def _(t):
     return rounded(encode.scale(filled, scaler).select("row_id", *LESION), LESION)
 
 
-@query("broadcast_stats", _scaled_sql(["X", "Y", "RADIUS"], "k_mias", "REFNUM"))
+@query("broadcast_stats", scaled_sql(["X", "Y", "RADIUS"], "k_mias", "REFNUM"))
 def _(t):
     coded = encode.encode_mias(t.mias, "BIRADS")
     columns = ["X", "Y", "RADIUS"]
@@ -151,7 +151,7 @@ def _(t):
 
 @query(
     "encode_tabular",
-    f"""SELECT s.*, l.y FROM ({_scaled_sql(LESION, 'k_metadata_filled', kind='FLOAT')}) s
+    f"""SELECT s.*, l.y FROM ({scaled_sql(LESION, 'k_metadata_filled', kind='FLOAT')}) s
 JOIN ({LABEL_SQL}) l ON s.row_id = l.row_id""",
 )
 def _(t):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catalog.features import LABEL_SQL, LESION, scaled_sql
 from catalog.images import gray_files
 from catalog.registry import Tables, query
 from sievelight.functions import codes
@@ -179,14 +180,18 @@ def _(t):
     return mammogram.run_mammogram(t.mias, birads="BIRADS").class_report()
 
 
-@query("prepare_multimodal")
+@query(
+    "prepare_multimodal",
+    f"""SELECT s.*, l.y, m.img_id, CAST(22 AS INTEGER) AS width
+FROM ({scaled_sql(LESION, 'k_metadata_filled', kind='FLOAT')}) s JOIN ({LABEL_SQL}) l ON s.row_id = l.row_id
+JOIN v_metadata m ON s.row_id = m.row_id JOIN embeddings e ON m.img_id = concat('img_', e.vec_id, '.png')""",
+)
 def _(t):
     images = pixels.load_image_gray(gray_files(t), "vec_id", size=(8, 8), features=True).select(
         F.concat(F.lit("img_"), F.col("vec_id"), F.lit(".png")).alias("img_id"), "image_features"
     )
     ready = lesion.prepare_multimodal(t.metadata, images)
     return classify.fuse_features(ready, ["features", "image_features"]).select(
-        "row_id", "img_id", "y", F.size("fused").alias("width")
+        "row_id", *[F.round(F.get("features", F.lit(i)), 6).alias(c) for i, c in enumerate(LESION)],
+        "y", "img_id", F.size("fused").alias("width"),
     )
-
-

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.config import Config
@@ -19,6 +19,15 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
 
 
+def _inside(spark: SparkSession, folder: str, path: Column) -> Column:
+    """Path below the folder: unique, and what a row would name to find the file."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    qualified = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root)
+    prefix = qualified.toUri().getPath().rstrip("/")
+    local = F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    return F.substring(local, len(prefix) + 2, 1 << 30)
+
+
 def scan_image_files(
     spark: SparkSession, folder: str, formats: Sequence[str] = Config.valid_image_formats
 ) -> DataFrame:
@@ -60,25 +69,29 @@ def scan_counts(
 
 
 def read_image_path(spark: SparkSession, folder: str, key: str = "img_id") -> DataFrame:
-    """File bytes keyed by the full file name."""
-    return _files(spark, folder).select(paths.basename(F.col("path")).alias(key), "path", "length", "content")
+    """File bytes keyed by the file's path below the folder (its name, without subfolders)."""
+    name = _inside(spark, folder, F.col("path"))
+    return _files(spark, folder).select(name.alias(key), "path", "length", "content")
 
 
 def read_image_refnum(spark: SparkSession, folder: str, key: str = "REFNUM") -> DataFrame:
     """Bytes of ``{key}.pgm`` files keyed by the name without suffix."""
-    files = _files(spark, folder).where(paths.suffix(F.col("path")) == ".pgm")
-    return files.select(paths.stem(F.col("path")).alias(key), "path", "length", "content")
+    files = _files(spark, folder).where(F.col("path").endswith(".pgm"))
+    name = F.regexp_replace(_inside(spark, folder, F.col("path")), r"\.pgm$", "")
+    return files.select(name.alias(key), "path", "length", "content")
 
 
 def read_pixels(spark: SparkSession, folder: str, key: str = "img_id") -> DataFrame:
-    """Images decoded by Spark's ``image`` source, keyed by file name; undecodable files are dropped."""
+    """Images decoded by Spark's ``image`` source, keyed by the path below the folder; undecodable
+    files are dropped."""
     images = (
         spark.read.format("image")
         .option("dropInvalid", "true")
         .option("recursiveFileLookup", "true")
         .load(folder)
     )
-    return images.select(paths.basename(F.col("image.origin")).alias(key), "image")
+    name = _inside(spark, folder, F.col("image.origin"))
+    return images.select(name.alias(key), "image")
 
 
 def read_image_blob(

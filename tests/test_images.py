@@ -125,7 +125,7 @@ def test_rgb_pixels_in_order_and_range(spark, folder):
     raw = np.frombuffer(zlib.decompress(data[start : start + length]), np.uint8).reshape(40, 151)[:, 1:]
     assert np.allclose(np.array(same["image"]), raw.ravel() / 255, atol=1e-6)
     resized = pixels.load_image_rgb(read, "img_id", (16, 16)).collect()
-    assert {r["img_id"] for r in resized} >= {"a.png", "copy.png", "c.bmp", "gray.PNG", "small.png"}
+    assert {r["img_id"] for r in resized} >= {"a.png", "copy.png", "sub/c.bmp", "sub/gray.PNG", "small.png"}
     assert all(len(r["image"]) == 16 * 16 * 3 and 0 <= min(r["image"]) <= max(r["image"]) <= 1 for r in resized)
     pooled = pixels.load_image_rgb(read, "img_id", (16, 16), features=True).first()
     assert len(pooled["image_features"]) == pixels.feature_length(3)

@@ -31,6 +31,7 @@ def local_session(cores: str = "8", **extra: str) -> SparkSession:
         builder = builder.config(name, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    share_locally(spark)
     return spark
 
 
@@ -50,22 +51,28 @@ def spread_small(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only on a single machine without it."""
+    """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``."""
     context = spark.sparkContext
     folder = (
         spark.conf.get("spark.checkpoint.dir", None)
         or context.getConf().get("spark.checkpoint.dir")
         or context.getCheckpointDir()
     )
-    if folder:
-        return folder
-    if not context.master.startswith("local"):
+    if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="sievelight-")
-    context.setCheckpointDir(folder)
     return folder
 
 
+def share_locally(spark: SparkSession) -> None:
+    """Name a temporary shared folder where none is named and one machine runs everything."""
+    try:
+        shared_dir(spark)
+    except ValueError:
+        if not spark.sparkContext.master.startswith("local["):
+            raise
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sievelight-"))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write the frame once as a table in the shared folder and read it back.
 

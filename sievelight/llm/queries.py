@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm import mixing, packing, sharding, token_counts, token_files
+from sievelight.llm import language, mixing, packing, permutation_index, quality_rules, sharding, token_counts, token_files
 from sievelight.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,22 @@ def op10_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.predict(docs, language.fit(docs))
+    held_out = language.remainder(F.col("doc_id")) == 0
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = permutation_index.usable(table(spark, sf_dir, "embeddings"))
+    return permutation_index.search(vectors, F.col("id") % 20 == 0, k=20)
+
+
+@query
+def op8_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

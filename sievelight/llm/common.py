@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sievelight.session import written
+
 # The white space between words as a regex class, and its characters.
 SPACE = r"\x20\x09-\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -26,6 +28,14 @@ def text_crc32(text: Column) -> Column:
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
 
 
+ROW = "_row_key"
+
+
+def with_row_key(df: DataFrame) -> DataFrame:
+    """The frame, written, with a unique number per row; ids may be null or repeated."""
+    return written(df.withColumn(ROW, F.monotonically_increasing_id()), "keyed-rows")
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sievelight.llm.common import SPACE, before, words
+from sievelight.llm.common import ROW, SPACE, before, with_row_key, words
 from sievelight.session import written
 
 # Multipliers of the index permutations: primes, of which one that does not divide the number of
@@ -118,6 +118,7 @@ def mix(
     weights: tuple[int, ...] = (1, 2, 3),
     most: int = 3,
     seed: int = 0,
+    key: str = "doc_id",
 ) -> tuple[DataFrame, DataFrame]:
     """Mix ``doc_id, text, source`` to target weights; sizes are words.
 
@@ -126,7 +127,8 @@ def mix(
     square root of the number of documents each), and over the buckets of a source; so a source with a
     third of all rows is spread like the others. Blocks and slots meet by (source, index).
 
-    Returns two frames. The documents: ``row`` (a key), ``doc_id, size, source_size, target``. The
+    Returns two frames. The documents: ``row`` (a key), ``key`` (the column of that name), ``doc_id,
+    size, source_size, target``. The
     mix: ``row, sid, index, epoch, shard, slot, from, to``, the words [from, to) of a document that a
     slot takes.
 
@@ -135,6 +137,7 @@ def mix(
     words has target 0. Empty table: no rows. Same rows, same mix: nothing depends on partitioning.
     """
     sized = docs.select(
+        F.col(key).alias("key"),
         "doc_id",
         F.col("source").cast("string").alias("source"),
         _size(F.col("text").cast("string")).alias("size"),
@@ -148,7 +151,7 @@ def mix(
     bucket = F.floor(prefix * buckets / 2**32).cast("long")
     # One row per source.
     rows = sized.join(targets, sized.source.eqNullSafe(targets.source)).select(
-        "doc_id", "size", "sid", "source_size", "target", "_place", "_text", bucket.alias("_bucket")
+        "key", "doc_id", "size", "sid", "source_size", "target", "_place", "_text", bucket.alias("_bucket")
     )
     sums = rows.groupBy("sid", "_bucket").agg(F.sum("size").alias("_sum"))
     offsets = before(sums, "_bucket", "_sum", "_before", ["sid"]).drop("_sum")
@@ -159,6 +162,7 @@ def mix(
         .join(offsets, ["sid", "_bucket"])
         .select(
             F.struct("sid", "_bucket", "_n").alias("row"),
+            "key",
             "doc_id",
             "size",
             "source_size",
@@ -197,10 +201,11 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: each stretch of neighbouring words that one pass takes, as a row.
 
-    Needs unique doc_ids. Keeps the columns of ``docs`` (``n_chars`` is counted anew if there), with
+    Keeps the columns of ``docs`` (``n_chars`` is counted anew if there), with
     the white space inside a stretch as it was.
     """
-    rows, taken = mix(docs.select("doc_id", "text", "source"), **options)
+    keyed = with_row_key(docs)
+    rows, taken = mix(keyed.select(ROW, "doc_id", "text", "source"), key=ROW, **options)
     spans = taken.groupBy("row", "epoch").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("_spans"))
     # Neighbouring spans of one pass become one.
     joined = F.aggregate(
@@ -214,12 +219,12 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
             ),
         ).otherwise(F.concat(acc, F.array(s))),
     )
-    chosen = spans.join(rows.select("row", "doc_id"), "row").select("doc_id", "epoch", F.inline(joined))
+    chosen = spans.join(rows.select("row", F.col("key").alias(ROW)), "row").select(ROW, "epoch", F.inline(joined))
     chosen = chosen.withColumnRenamed("from", "_from").withColumnRenamed("to", "_to").drop("epoch")
     units = F.regexp_extract_all("text", F.lit(f"[^{SPACE}]+[{SPACE}]*"), F.lit(0))
     stretch = F.array_join(F.slice(units, (F.col("_from") + 1).cast("int"), (F.col("_to") - F.col("_from")).cast("int")), "")
     whole = (F.col("_from") == 0) & (F.size(words(F.col("text"))) == F.col("_to"))
-    out = docs.join(chosen, "doc_id").withColumn("text", F.when(whole, F.col("text")).otherwise(F.rtrim(stretch)))
+    out = keyed.join(chosen, ROW).withColumn("text", F.when(whole, F.col("text")).otherwise(F.rtrim(stretch)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.functions.binding import let
-from sievelight.llm.common import SPACE
+from sievelight.llm.common import ROW, SPACE, with_row_key
 from sievelight.session import written
 
 KINDS = ("email", "ip", "card", "phone")
@@ -181,9 +181,11 @@ def spans_text(spans: Column) -> Column:
 def redact(docs: DataFrame, **options) -> DataFrame:
     """The documents with each span replaced by its kind in brackets; overlapping spans become one.
 
-    Needs unique doc_ids. Keeps the columns (``n_chars`` is counted anew if there).
+    Keeps rows and columns (``n_chars`` is counted anew if there).
     """
-    found = find(docs.select("doc_id", "text"), **options).filter(F.size("spans") > 0).select("doc_id", F.col("spans").alias("_spans"))
+    rows = with_row_key(docs)
+    found = find(rows.select(F.col(ROW).alias("doc_id"), "text"), **options).filter(F.size("spans") > 0)
+    found = found.select(F.col("doc_id").alias(ROW), F.col("spans").alias("_spans"))
     text, names = F.col("text"), F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
 
     def replaced(ordered: Column) -> Column:
@@ -199,7 +201,7 @@ def redact(docs: DataFrame, **options) -> DataFrame:
         return let(done, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.char_length(text))))
 
     by_start = F.transform(F.col("_spans"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
-    out = docs.join(found, "doc_id", "left").withColumn("text", F.when(F.col("_spans").isNull(), text).otherwise(replaced(F.array_sort(by_start))))
+    out = rows.join(found, ROW, "left").withColumn("text", F.when(F.col("_spans").isNull(), text).otherwise(replaced(F.array_sort(by_start))))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

@@ -15,7 +15,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 4096) -> Da
     """Pack ``doc_id, text`` into sequences of ``length`` ids; one row per piece, with its ids.
 
     First pass: texts are encoded where they lie and written with their place in their partition; no
-    text or id is shuffled. The partitions' totals (one row each) are summed up to global offsets.
+    text or id is shuffled. The partitions' totals (one row each, so they may be sent to all) are summed up to global offsets.
     Second pass: window ``i`` holds the ids at offsets ``i * length`` on; a document that crosses a
     boundary gives one piece on each side. All sequences but the last are full.
 
@@ -29,7 +29,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 4096) -> Da
     rows = written(with_ids(docs, tokenizer, end_id), "packed-ids")
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
     offsets = before(totals, "part", "_n", "_before").select("part", "_before")
-    placed = rows.join(offsets, "part").select("doc_id", (F.col("first") + F.col("_before")).alias("at"), "ids")
+    placed = rows.join(F.broadcast(offsets), "part").select("doc_id", (F.col("first") + F.col("_before")).alias("at"), "ids")
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
 

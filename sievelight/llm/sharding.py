@@ -41,7 +41,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16) -> DataFrame:
     placed = (
         rows.withColumn("_n", F.row_number().over(own))
         .withColumn("_to", F.sum("size").over(own.rowsBetween(W.unboundedPreceding, W.currentRow)))
-        .join(offsets.drop("_size", "_rows"), "part")
+        .join(F.broadcast(offsets.drop("_size", "_rows")), "part")
     )
     middle = 2 * (F.col("_bytes_before") + F.col("_to")) - F.col("size")  # twice, to stay whole
     placed = placed.withColumn("_middle", middle).select(

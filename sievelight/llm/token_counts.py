@@ -6,14 +6,15 @@ import re
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sievelight.llm.tokens import Stretches, encode_strings, joined_lists, load_tokenizer, slices
+from sievelight.llm.tokens import Stretches, WordModel, joined_lists, load_tokenizer, text_slices
 from sievelight.session import written
 
 _PIECES: dict[str, tuple[list[str], Stretches]] = {}
 # Distinct pieces a worker numbers before it starts again.
-PIECES_KEPT = 500_000
+PIECES_KEPT = 1_500_000
 
 
 def _pieces(path: str) -> tuple[list[str], Stretches]:
@@ -32,6 +33,9 @@ def _pieces(path: str) -> tuple[list[str], Stretches]:
             return numbers[piece]
 
         def split(stretch: str) -> list[int]:
+            base = stretch[:-1] if stretch[-1:] in (",", ".") else stretch
+            if (base[1:] if base[:1] == " " else base).isalpha():
+                return [number(base)] if base is stretch else [number(base), number(stretch[-1])]
             found = []
             for i, part in enumerate(special.split(stretch)):
                 if i % 2:  # an added token
@@ -45,14 +49,14 @@ def _pieces(path: str) -> tuple[list[str], Stretches]:
     return _PIECES[path]
 
 
-def _frequencies(texts: list[str | None], path: str):
-    """Per slice of texts: ``(from, to, names, doc, piece, n)`` with one entry per document and piece."""
-    for i, j in slices(texts):
+def _frequencies(column, path: str):
+    """Per slice of an Arrow column: ``(from, to, names, doc, piece, n)``, one entry per document and piece."""
+    for i, j, data, bounds in text_slices(column):
         names, numbers = _pieces(path)
-        flat, cuts = numbers.arrays([t or "" for t in texts[i:j]])
-        doc = np.repeat(np.arange(j - i, dtype=np.int64), np.diff(cuts))
-        both, n = np.unique((doc << 32) | flat, return_counts=True)
-        yield i, j, names, both >> 32, both & 0xFFFFFFFF, n
+        flat, cuts = numbers.arrays(data, bounds)
+        both = np.sort((np.repeat(np.arange(j - i, dtype=np.int64), np.diff(cuts)) << 32) | flat)
+        first = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.zeros(0, np.int64)
+        yield i, j, names, both[first] >> 32, both[first] & 0xFFFFFFFF, np.diff(np.append(first, len(both)))
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, common: int = 100_000, common_chars: int = 40) -> DataFrame:
@@ -72,27 +76,28 @@ def count_tokens(docs: DataFrame, tokenizer: str, common: int = 100_000, common_
     narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
 
     def distinct(batches):
-        uses: dict[str, int] = {}
+        names: list[str] = []
+        uses = np.zeros(0, np.int64)
         for batch in batches:
-            for _, _, names, _, piece, n in _frequencies(batch.column(0).to_pylist(), tokenizer):
-                found, at = np.unique(piece, return_inverse=True)
-                for p, total in zip(found.tolist(), np.bincount(at, n).astype(np.int64).tolist()):
-                    uses[names[p]] = uses.get(names[p], 0) + total
-                if len(uses) > PIECES_KEPT:
-                    yield from _batches(uses)
-                    uses = {}
-        yield from _batches(uses)
-
-    def _batches(uses: dict[str, int]):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(uses), pa.string()), pa.array(list(uses.values()), pa.int64())], names=["piece", "uses"]
-        )
+            for _, _, now, _, piece, n in _frequencies(batch.column(0), tokenizer):
+                if now is not names:  # the worker's numbers start again
+                    yield from _used(names, uses)
+                    names, uses = now, np.zeros(0, np.int64)
+                uses = np.concatenate((uses, np.zeros(len(names) - len(uses), np.int64)))
+                uses += np.bincount(piece, n, len(names)).astype(np.int64)
+        yield from _used(names, uses)
+
+    def _used(names: list[str], uses: np.ndarray):
+        for at in np.array_split(np.flatnonzero(uses), 1 + len(uses) // 100_000):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([names[p] for p in at.tolist()], pa.string()), pa.array(uses[at])], names=["piece", "uses"]
+            )
 
     def encode(batches):
-        library = load_tokenizer(tokenizer)
+        library = WordModel(tokenizer)
         for batch in batches:
             pieces = batch.column("piece")
-            _, sizes = encode_strings(library, pieces.to_pylist())
+            _, sizes = library(pieces.to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [pieces, batch.column("uses"), pa.array(sizes)], names=["piece", "uses", "tokens"]
             )
@@ -100,16 +105,26 @@ def count_tokens(docs: DataFrame, tokenizer: str, common: int = 100_000, common_
     uses = narrow.select("text").mapInArrow(distinct, "piece string, uses long")
     uses = uses.groupBy("piece").agg(F.sum("uses").alias("uses"))
     pieces = written(uses.mapInArrow(encode, "piece string, uses long, tokens long"), "pre-tokens")
-    top = pieces.filter(F.length("piece") <= common_chars).orderBy(F.desc("uses"), "piece").limit(common)
+    short = pieces.filter(F.length("piece") <= common_chars)
+    # The least number of uses that at most ``common`` of them have: from one row per number of uses.
+    most = W.partitionBy(F.lit(0)).orderBy(F.desc("uses"))
+    steps = short.groupBy("uses").count().withColumn("_n", F.sum("count").over(most)).filter(F.col("_n") <= common)
+    least = steps.agg(F.min("uses")).first()[0]
+    top = short.filter(F.col("uses") >= (least or 0)) if least is not None else short.limit(0)
     known = spark.sparkContext.broadcast({r.piece: r.tokens for r in top.select("piece", "tokens").collect()})
 
     def count(batches):
+        names: list[str] = []
+        sizes = np.zeros(0, np.int64)
         for batch in batches:
-            for i, j, names, doc, piece, n in _frequencies(batch.column("text").to_pylist(), tokenizer):
-                found, at = np.unique(piece, return_inverse=True)
-                sizes = np.array([known.value.get(names[p], -1) for p in found.tolist()], np.int64)[at]
-                rest = sizes < 0
-                sums = np.bincount(doc, np.where(rest, 0, sizes * n), j - i).astype(np.int64)
+            for i, j, now, doc, piece, n in _frequencies(batch.column("text"), tokenizer):
+                if now is not names:
+                    names, sizes = now, np.zeros(0, np.int64)
+                new = [known.value.get(p, -1) for p in names[len(sizes) :]]
+                sizes = np.concatenate((sizes, np.array(new, np.int64)))
+                tokens = sizes[piece]
+                rest = tokens < 0
+                sums = np.bincount(doc, np.where(rest, 0, tokens * n), j - i).astype(np.int64)
                 cuts = np.concatenate(([0], np.cumsum(np.bincount(doc[rest], minlength=j - i))))
                 left = pa.StructArray.from_arrays(
                     [pa.array([names[p] for p in piece[rest].tolist()], pa.string()), pa.array(n[rest])],

@@ -62,10 +62,10 @@ def read_tokens(spark: SparkSession, path: str, where: Column | None = None) ->
 
 
 def _with_start(rows: DataFrame, spark: SparkSession, path: str) -> DataFrame:
-    """Add the ids of all earlier files: one row per file is summed up, then joined."""
+    """Add the ids of all earlier files: one row per file is summed up and sent to all."""
     totals = spark.read.parquet(path).groupBy("part").agg(F.sum("n_tokens").alias("_n"))
     files = before(totals, "part", "_n", "_before").select("part", "_before")
-    return rows.join(files, "part").withColumn("start", F.col("first") + F.col("_before")).drop("_before")
+    return rows.join(F.broadcast(files), "part").withColumn("start", F.col("first") + F.col("_before")).drop("_before")
 
 
 def checksums(rows: DataFrame) -> DataFrame:

@@ -7,9 +7,9 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from sievelight.llm.components import components
 from sievelight.llm.tokens import WHITE, text_slices
@@ -21,6 +21,9 @@ NUMERATOR, DENOMINATOR = 4, 5
 BASE = 0x5851F42D4C957F2D  # odd, so that it has an inverse modulo 2**64
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 FILTER_BITS = 1 << 24
+# Words of 64 bits in the parity sketch of a set.
+SKETCH = 16
+SKETCHES = [f"s{i}" for i in range(SKETCH)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -190,19 +193,46 @@ def _sets(batches):
             yield batch, i, j, hashes, cuts, class_ids(hashes, cuts)
 
 
+def sketches(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Parity sketches, one row per set: each shingle flips one bit.
+
+    Two sketches differ in at most as many bits as their sets differ in shingles.
+    """
+    n = len(cuts) - 1
+    bit = (mix(hashes ^ FACTORS[3]) >> np.uint64(54)).astype(np.int64)  # 10 bits
+    odd = np.bincount(np.repeat(np.arange(n), np.diff(cuts)) * (64 * SKETCH) + bit, minlength=n * 64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, SKETCH, 64), axis=2).view(np.int64).reshape(n, SKETCH)
+
+
 def set_table(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, class`` per row; ``class`` is null for an empty set."""
+    """``doc_id, n_shingles, class, s0, ...`` per row; ``class`` is null for an empty set."""
 
     def run(batches):
-        for batch, i, j, _, cuts, classes in _sets(batches):
+        for batch, i, j, hashes, cuts, classes in _sets(batches):
             sizes = np.diff(cuts)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(i, j - i), pa.array(sizes), pa.array(classes, mask=sizes == 0)],
-                names=["doc_id", "n_shingles", "class"],
-            )
+            for a in range(0, j - i, 500):
+                b = min(a + 500, j - i)
+                part = sketches(hashes[cuts[a] : cuts[b]], cuts[a : b + 1] - cuts[a])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").slice(i + a, b - a),
+                        pa.array(sizes[a:b]),
+                        pa.array(classes[a:b], mask=sizes[a:b] == 0),
+                        *(pa.array(np.ascontiguousarray(part[:, k])) for k in range(SKETCH)),
+                    ],
+                    names=["doc_id", "n_shingles", "class", *SKETCHES],
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, class long")
+    words = ", ".join(f"{name} long" for name in SKETCHES)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, class long, {words}")
+
+
+def may_link(a: str, b: str) -> Column:
+    """False for sketches that rule a link out, by size or by the shingles that differ at least."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    differ = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCHES), F.lit(0))
+    return (DENOMINATOR * F.least(n, m) >= NUMERATOR * F.greatest(n, m)) & (9 * differ <= n + m)
 
 
 def key_table(docs: DataFrame) -> DataFrame:
@@ -253,7 +283,7 @@ def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids[wanted]), lists], names=["class", "shingles"])
 
     found = docs.select("text").mapInArrow(run, "class long, shingles array<long>")
-    return found.groupBy("class").agg(F.first("shingles").alias("shingles"))
+    return found.join(classes, "class", "left_semi").groupBy("class").agg(F.first("shingles").alias("shingles"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -272,38 +302,51 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def linked_classes(docs: DataFrame) -> DataFrame:
-    """``node, root`` of the classes that links lead to a smaller class.
+def linked_classes(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``node, root`` of the classes that links lead to a smaller class; ``rows`` are of ``set_table``.
 
     Classes with a common key form a list. First each is checked against the list's smallest; a large
     group of near copies is mostly joined by this, at one check each. Then, within each list, all pairs
     whose members are not yet in one component are checked, so no link between components is missed.
+    Sketches go first: they rule out most pairs of a list without any set being moved, and never a link.
     """
-    spark = docs.sparkSession
+    known = rows.filter("class is not null").groupBy("class").agg(
+        F.first("n_shingles").alias("n"), *(F.first(s).alias(s) for s in SKETCHES)
+    )
     by_key = W.partitionBy("key").orderBy("class")
     lists = key_table(docs).withColumn("rep", F.min("class").over(by_key)).filter("rep != class")
     lists = written(lists, "ngram-lists")
-    stars = written(lists.select(F.col("rep").alias("a"), F.col("class").alias("b")).distinct(), "ngram-stars")
-    members = stars.select(F.col("a").alias("class")).union(stars.select("b")).distinct()
-    sets = written(sets_of(docs, members), "ngram-sets")
-    links = written(verified(stars, sets), "ngram-links")
+    members = lists.select("class").union(lists.select("rep")).distinct()
+    known = written(known.join(members, "class", "left_semi"), "ngram-sketches")
+    stars = lists.select(F.col("rep").alias("a"), F.col("class").alias("b")).distinct()
+    x, y = known.withColumnRenamed("class", "a").alias("x"), known.withColumnRenamed("class", "b").alias("y")
+    stars = stars.join(x, "a").join(y, "b").filter(may_link("x", "y")).select("a", "b")
+    links = _checked(docs, stars)
     roots = components(links)
     # Members of each list, with their components so far.
     everyone = lists.select("key", "class").union(lists.select("key", "rep")).distinct()
     named = everyone.join(roots.withColumnRenamed("node", "class"), "class", "left")
-    named = named.select("key", "class", F.coalesce("root", "class").alias("root"))
+    named = named.withColumn("root", F.coalesce("root", "class"))
     heads = lists.groupBy("key").agg(F.min("rep").alias("rep"))
-    heads = heads.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    heads = heads.select("key", "rep", F.coalesce("root", "rep").alias("head_root"))
-    # One side of a pair is outside the component of the list's smallest; pairs with that were checked.
-    outside = named.join(heads, "key").filter("root != head_root").select("key", F.col("class").alias("a"), F.col("root").alias("_ra"), "rep")
-    inside = named.select("key", F.col("class").alias("b"), F.col("root").alias("_rb"))
-    pairs = outside.join(inside, "key").filter("_ra != _rb and b != rep")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    heads = heads.join(roots.select(F.col("node").alias("rep"), F.col("root").alias("head")), "rep", "left")
+    heads = heads.withColumn("head", F.coalesce("head", "rep"))
+    # Only lists with two or more components go on; pairs with the smallest were checked.
+    split = named.join(heads, "key").filter((F.col("root") != F.col("head")))
+    named = named.join(split.select("key").distinct(), "key", "left_semi").join(known, "class")
+    outside = split.select("key", "class", "root", "rep").join(known, "class").alias("x")
+    named = named.alias("y")
+    apart = (F.col("x.root") != F.col("y.root")) & (F.col("y.class") != F.col("x.rep"))
+    pairs = outside.join(named, (F.col("x.key") == F.col("y.key")) & apart & may_link("x", "y"))
+    pairs = pairs.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
+    more = _checked(docs, pairs)
+    return roots if more.isEmpty() else components(more.union(links))
+
+
+def _checked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The links among candidate pairs, written."""
     pairs = written(pairs, "ngram-pairs")
-    if pairs.isEmpty():
-        return roots
-    return components(written(verified(pairs, sets).union(links), "ngram-links"))
+    classes = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+    return written(verified(pairs, sets_of(docs, classes)), "ngram-links")
 
 
 def join_components(docs: DataFrame) -> DataFrame:
@@ -317,11 +360,11 @@ def join_components(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     rows = written(set_table(docs), "ngram-rows")
-    roots = linked_classes(docs)
+    roots = linked_classes(docs, rows)
     classes = rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n"))
     named = classes.join(roots.withColumnRenamed("node", "class"), "class", "left")
     named = named.withColumn("root", F.coalesce("root", "class"))
     ids = named.groupBy("root").agg(F.min("_first").alias("component_id"), F.sum("_n").alias("_all"))
     # Classes that stand alone name themselves.
     shared = named.join(ids.filter("_all > 1"), "root").select("class", "component_id")
-    return rows.join(shared, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.select("doc_id", "n_shingles", "class").join(shared, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -21,9 +21,10 @@ NUMERATOR, DENOMINATOR = 4, 5
 BASE = 0x5851F42D4C957F2D  # odd, so that it has an inverse modulo 2**64
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 FILTER_BITS = 1 << 24
-# Words of 64 bits in the parity sketch of a set.
+# Words of 64 bits in the parity sketches of a set.
 SKETCH = 16
 SKETCHES = [f"s{i}" for i in range(SKETCH)]
+FINE = 128
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -193,15 +194,15 @@ def _sets(batches):
             yield batch, i, j, hashes, cuts, class_ids(hashes, cuts)
 
 
-def sketches(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """Parity sketches, one row per set: each shingle flips one bit.
+def sketches(hashes: np.ndarray, cuts: np.ndarray, words: int = SKETCH) -> np.ndarray:
+    """Parity sketches of 64 ``words`` bits (a power of two), one row per set: each shingle flips one bit.
 
     Two sketches differ in at most as many bits as their sets differ in shingles.
     """
-    n = len(cuts) - 1
-    bit = (mix(hashes ^ FACTORS[3]) >> np.uint64(54)).astype(np.int64)  # 10 bits
-    odd = np.bincount(np.repeat(np.arange(n), np.diff(cuts)) * (64 * SKETCH) + bit, minlength=n * 64 * SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(n, SKETCH, 64), axis=2).view(np.int64).reshape(n, SKETCH)
+    n, bits = len(cuts) - 1, 64 * words
+    bit = (mix(hashes ^ FACTORS[3]) >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+    odd = np.bincount(np.repeat(np.arange(n), np.diff(cuts)) * bits + bit, minlength=n * bits) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, words, 64), axis=2).view(np.int64).reshape(n, words)
 
 
 def set_table(docs: DataFrame) -> DataFrame:
@@ -255,7 +256,7 @@ def key_table(docs: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``class, shingles`` of (at least) the given classes, one row each.
+    """``class, shingles, fine`` of the given classes, one row each; ``fine`` is a large parity sketch.
 
     A bitmap of fixed size tells the scan which classes are wanted, so that few others are sent.
     """
@@ -279,24 +280,42 @@ def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
                 seen.add(int(ids[k]))
             sizes = np.where(wanted, np.diff(cuts), 0)[wanted]
             values = hashes[np.repeat(wanted, np.diff(cuts))].view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(values))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[wanted]), lists], names=["class", "shingles"])
+            ids, ends = ids[wanted], np.concatenate(([0], np.cumsum(sizes)))
+            for a in range(0, len(ids), 100):
+                b = min(a + 100, len(ids))
+                own, at = values[ends[a] : ends[b]], ends[a : b + 1] - ends[a]
+                fine = sketches(own.view(np.uint64), at, FINE)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ids[a:b]),
+                        pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(own)),
+                        pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * FINE), pa.array(fine.ravel())),
+                    ],
+                    names=["class", "shingles", "fine"],
+                )
 
-    found = docs.select("text").mapInArrow(run, "class long, shingles array<long>")
-    return found.join(classes, "class", "left_semi").groupBy("class").agg(F.first("shingles").alias("shingles"))
+    found = docs.select("text").mapInArrow(run, "class long, shingles array<long>, fine array<long>")
+    found = found.join(classes, "class", "left_semi").groupBy("class")
+    return found.agg(F.first("shingles").alias("shingles"), F.first("fine").alias("fine"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs ``a, b`` whose sets are similar, compared shingle by shingle."""
-    x = sets.select(F.col("class").alias("a"), F.col("shingles").alias("_a"))
-    y = sets.select(F.col("class").alias("b"), F.col("shingles").alias("_b"))
-    n, m = F.size("_a"), F.size("_b")
-    alike = (DENOMINATOR * F.least(n, m) >= NUMERATOR * F.greatest(n, m))
-    both = F.size(F.array_intersect("_a", "_b"))
+    """Those of the pairs ``a, b`` whose sets are similar, compared shingle by shingle.
+
+    The fine sketches go first, so that few sets are sent along with pairs that do not link.
+    """
+
+    def side(name: str, *columns: str) -> DataFrame:
+        return sets.select(F.col("class").alias(name), *(F.expr(c).alias(f"_{i}{name}") for i, c in enumerate(columns)))
+
+    near = pairs.join(side("a", "fine", "size(shingles)"), "a").join(side("b", "fine", "size(shingles)"), "b")
+    flips = F.aggregate(F.zip_with("_0a", "_0b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = near.filter(9 * flips <= F.col("_1a") + F.col("_1b")).select("a", "b")
+    n, m = F.size("_0a"), F.size("_0b")
+    both = F.size(F.array_intersect("_0a", "_0b"))
     return (
-        pairs.join(x, "a")
-        .join(y, "b")
-        .filter(alike)
+        near.join(side("a", "shingles"), "a")
+        .join(side("b", "shingles"), "b")
         .filter(DENOMINATOR * both >= NUMERATOR * (n + m - both))
         .select("a", "b")
     )
@@ -305,9 +324,10 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def linked_classes(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """``node, root`` of the classes that links lead to a smaller class; ``rows`` are of ``set_table``.
 
-    Classes with a common key form a list. First each is checked against the list's smallest; a large
-    group of near copies is mostly joined by this, at one check each. Then, within each list, all pairs
-    whose members are not yet in one component are checked, so no link between components is missed.
+    Classes with a common key form a list. First each class is checked against one other, the smallest
+    of most of its lists; a large group of near copies is mostly joined by this, at one check each. Then,
+    within each list, all pairs whose members are not yet in one component are checked, so no link
+    between components is missed.
     Sketches go first: they rule out most pairs of a list without any set being moved, and never a link.
     """
     known = rows.filter("class is not null").groupBy("class").agg(
@@ -318,9 +338,11 @@ def linked_classes(docs: DataFrame, rows: DataFrame) -> DataFrame:
     lists = written(lists, "ngram-lists")
     members = lists.select("class").union(lists.select("rep")).distinct()
     known = written(known.join(members, "class", "left_semi"), "ngram-sketches")
-    stars = lists.select(F.col("rep").alias("a"), F.col("class").alias("b")).distinct()
+    often = lists.groupBy("class", "rep").count().groupBy("class").agg(F.max(F.struct("count", "rep"))["rep"].alias("a"))
+    stars = often.select("a", F.col("class").alias("b"))
     x, y = known.withColumnRenamed("class", "a").alias("x"), known.withColumnRenamed("class", "b").alias("y")
     stars = stars.join(x, "a").join(y, "b").filter(may_link("x", "y")).select("a", "b")
+    stars = written(stars, "ngram-stars")
     links = _checked(docs, stars)
     roots = components(links)
     # Members of each list, with their components so far.
@@ -330,23 +352,25 @@ def linked_classes(docs: DataFrame, rows: DataFrame) -> DataFrame:
     heads = lists.groupBy("key").agg(F.min("rep").alias("rep"))
     heads = heads.join(roots.select(F.col("node").alias("rep"), F.col("root").alias("head")), "rep", "left")
     heads = heads.withColumn("head", F.coalesce("head", "rep"))
-    # Only lists with two or more components go on; pairs with the smallest were checked.
+    # Only lists with two or more components go on; a pair has a member outside the smallest's.
     split = named.join(heads, "key").filter((F.col("root") != F.col("head")))
     named = named.join(split.select("key").distinct(), "key", "left_semi").join(known, "class")
-    outside = split.select("key", "class", "root", "rep").join(known, "class").alias("x")
+    outside = split.select("key", "class", "root").join(known, "class").alias("x")
     named = named.alias("y")
-    apart = (F.col("x.root") != F.col("y.root")) & (F.col("y.class") != F.col("x.rep"))
+    apart = F.col("x.root") != F.col("y.root")
     pairs = outside.join(named, (F.col("x.key") == F.col("y.key")) & apart & may_link("x", "y"))
     pairs = pairs.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
-    more = _checked(docs, pairs)
+    more = _checked(docs, pairs.join(stars, ["a", "b"], "left_anti"))
     return roots if more.isEmpty() else components(more.union(links))
 
 
 def _checked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The links among candidate pairs, written."""
     pairs = written(pairs, "ngram-pairs")
+    if pairs.isEmpty():
+        return pairs
     classes = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    return written(verified(pairs, sets_of(docs, classes)), "ngram-links")
+    return written(verified(pairs, written(sets_of(docs, classes), "ngram-sets")), "ngram-links")
 
 
 def join_components(docs: DataFrame) -> DataFrame:

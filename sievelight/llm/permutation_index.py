@@ -93,7 +93,7 @@ def search(
     query_filter,
     k: int = 20,
     pivots: int = 256,
-    prefix: int = 64,
+    prefix: int = 48,
     share: float = 0.25,
     least: int = 400,
     block: int = 4096,

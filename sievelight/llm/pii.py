@@ -19,8 +19,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 # What may be an identifier: a phone, a run of digit groups, or a word with a digit or an at sign.
 CANDIDATE = rf"{PHONE}|(?<![^{SPACE}]){CARD}(?![^{SPACE}])|(?<![^{SPACE}])[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+"
-# A candidate's opening (up to the last opening mark), core and closing marks.
-PARTS = r"""^((?:.*[=:"'(<\[])?)(.+?)([.,;:!?"')>\]]*)$"""
+# A candidate's opening (a name with = or :, and opening marks), core and closing marks.
+PARTS = r"""^((?:[A-Za-z_-]*[=:])?["'(<\[]*)(.+?)([.,;:!?"')>\]]*)$"""
 CONTEXT = 64
 SPAN = "array<struct<kind:int,start:int,end:int>>"
 

@@ -17,7 +17,7 @@ HEADLINE = (
     "text_report validate_text_ml text_duplicates_any union_sources label_balance value_percent "
     "nunique_by_column histogram_bins tfidf_vocab tfidf_top_terms impute_median preprocess_metadata "
     "standard_scale_fit encode_mias split_three_way stratified_order validate_image_files "
-    "image_report clean_filter run_summary join_images_inner image_duplicates_md5 load_image_gray "
+    "image_report clean_filter pipeline_summary join_images_inner image_duplicates_md5 load_image_gray "
     "classification_report roc_auc evaluate_loss_accuracy permutation_importance train_classifier"
 ).split()
 

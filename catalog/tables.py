@@ -380,7 +380,7 @@ SELECT (SELECT count(*) FROM k_flagged) AS total_raw, CAST(total AS BIGINT) AS t
   {_pairs_sql("k_clean", "label")} AS label_distribution FROM s"""
 
 
-@query("run_summary", RUN_SUMMARY_SQL)
+@query("pipeline_summary", RUN_SUMMARY_SQL)
 def _(t):
     run = run_quality(t.samples, image_files=t.sample_files, jpeg=False, full=False)
     summary = run.summary.drop("generated_at")

@@ -35,21 +35,6 @@ def local_session(cores: str = "8", **extra: str) -> SparkSession:
     return spark
 
 
-SPREAD_BYTES = (4 << 20, 512 << 20)
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread a scan over the cores when its few large row groups would leave most of them idle.
-
-    Only scans of 4 to 512 MB are moved; below it is not worth a shuffle, above there are enough
-    splits.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if not SPREAD_BYTES[0] <= size <= SPREAD_BYTES[1]:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``."""
     context = spark.sparkContext

@@ -162,27 +162,26 @@ def fit(
                 buckets, counts = [], []
                 for a, b in zip(cuts[:-1], cuts[1:]):
                     at, n = np.unique(np.concatenate([g[a:b] for g in per_gram]), return_counts=True)
-                    buckets.append(at[at < BUCKETS])
-                    counts.append(n[at < BUCKETS])
+                    buckets.append(at[at < BUCKETS].astype(np.uint16).tobytes())
+                    counts.append(n[at < BUCKETS].astype(np.uint32).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("_chance").slice(i, j - i),
                         batch.column("lang").slice(i, j - i),
-                        pa.array(buckets, pa.list_(pa.int32())),
-                        pa.array(counts, pa.list_(pa.int32())),
+                        pa.array(buckets, pa.binary()),
+                        pa.array(counts, pa.binary()),
                     ],
                     names=["chance", "lang", "buckets", "counts"],
                 )
 
     got = sample.select("_chance", "lang", "text").mapInArrow(
-        count, "chance double, lang string, buckets array<int>, counts array<int>"
+        count, "chance double, lang string, buckets binary, counts binary"
     )
-    got = got.toPandas().sort_values(["chance", "lang"], kind="stable")
-    rows = [(np.asarray(b, np.int32), np.asarray(n, np.float32)) for b, n in zip(got["buckets"], got["counts"])]
-    keep = [i for i, (b, _) in enumerate(rows) if len(b)]
-    if not keep:
+    got = sorted((r["chance"], r["lang"], bytes(r["buckets"]), bytes(r["counts"])) for r in got.collect() if r["buckets"])
+    if not got:
         return None
-    return train([rows[i] for i in keep], [got["lang"].iloc[i] for i in keep], size, rounds, seed, miss)
+    rows = [(np.frombuffer(b, np.uint16), np.frombuffer(n, np.uint32)) for _, _, b, n in got]
+    return train(rows, [r[1] for r in got], size, rounds, seed, miss)
 
 
 def _has_letter() -> Column:

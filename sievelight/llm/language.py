@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.llm.tokens import text_slices
+from sievelight.llm.tokens import release, text_slices
 
 BUCKETS = 1 << 15
 GRAMS = (2, 3, 4)
@@ -156,6 +156,7 @@ def fit(
     sample = labelled.withColumn("_chance", chance).filter(F.col("_chance") < F.coalesce(rates[F.col("lang")], F.lit(0.0)))
 
     def count(batches):
+        release()
         for batch in batches:
             for i, j, data, cuts in text_slices(batch.column("text")):
                 per_gram = list(grams(data, cuts))
@@ -196,6 +197,7 @@ def predict(docs: DataFrame, model: Model | None, columns: tuple[str, str, str]
     """
     @F.pandas_udf("struct<language:string,score:double>")
     def guess(texts: pd.Series) -> pd.DataFrame:
+        release()
         names, scores = [], []
         for _, _, data, cuts in text_slices(pa.array(texts, pa.large_string())):
             chance = _softmax(mean_logits(model, data, cuts) / model.temperature)

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievelight.llm.components import components
-from sievelight.llm.tokens import WHITE, text_slices
+from sievelight.llm.tokens import WHITE, release, text_slices
 from sievelight.session import written
 
 SHINGLE = 5
@@ -188,6 +188,7 @@ def segment_keys(hashes: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.n
 
 def _sets(batches):
     """Per slice of a batch with ``text``: ``(batch, from, to, hashes, cuts, class ids)``."""
+    release()
     for batch in batches:
         for i, j, data, bounds in text_slices(batch.column("text")):
             hashes, cuts = shingle_sets(data, bounds)

@@ -328,6 +328,15 @@ def encoder(path: str, end: int | None) -> Stretches:
     return _ENCODERS[path, end]
 
 
+def release() -> None:
+    """Give back what earlier tasks of other operators keep in this worker."""
+    import pyarrow as pa
+
+    if _ENCODERS:
+        _ENCODERS.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def text_slices(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(from, to, bytes, cuts)`` of an Arrow string column, about ``SLICE_BYTES`` at a time.
 

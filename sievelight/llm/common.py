@@ -28,6 +28,17 @@ def text_crc32(text: Column) -> Column:
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """The frame; texts go to Python 4 MB at a time unless the session names a bound of its own."""
+    conf = docs.sparkSession.conf
+    if conf.get(BATCH, "1b") == "1b":
+        conf.set(BATCH, "4m")
+    return docs
+
+
 ROW = "_row_key"
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievelight.llm.common import small_batches
 from sievelight.llm.tokens import release, text_slices
 
 BUCKETS = 1 << 15
@@ -146,7 +146,7 @@ def fit(
     languages, chosen by a hash of the key; a text arrives as at most ``BUCKETS`` counts. The counts of
     languages cover all rows.
     """
-    labelled = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    labelled = small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     labelled = labelled.filter(F.col("lang").isNotNull() & (remainder(F.col("doc_id")) != 0) & _has_letter())
     totals = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
     if not totals:
@@ -195,20 +195,20 @@ def predict(docs: DataFrame, model: Model | None, columns: tuple[str, str, str]
     ``und``, 0 and rejected: a null text, one without a letter, and every text if there is no model.
     Whole texts are read where they lie; nothing is shuffled. Columns of the given names are replaced.
     """
-    @F.pandas_udf("struct<language:string,score:double>")
-    def guess(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("struct<language:string,score:double>")
+    def guess(texts: pa.Array) -> pa.Array:
         release()
         names, scores = [], []
-        for _, _, data, cuts in text_slices(pa.array(texts, pa.large_string())):
+        for _, _, data, cuts in text_slices(texts):
             chance = _softmax(mean_logits(model, data, cuts) / model.temperature)
             names += [model.languages[k] for k in chance.argmax(axis=1)]
             scores += chance.max(axis=1).tolist()
-        return pd.DataFrame({"language": pd.Series(names, dtype=object), "score": pd.Series(scores, dtype=float)})
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["language", "score"])
 
     name, score, accepted = columns
     if model is None:
         return docs.withColumns({name: F.lit(UNKNOWN), score: F.lit(0.0), accepted: F.lit(False)})
-    found = docs.withColumn("_language", guess(F.col("text").cast("string"))).withColumn("_letter", _has_letter())
+    found = small_batches(docs).withColumn("_language", guess(F.col("text").cast("string"))).withColumn("_letter", _has_letter())
     found = found.withColumns(
         {
             name: F.when(F.col("_letter"), F.col("_language.language")).otherwise(UNKNOWN),

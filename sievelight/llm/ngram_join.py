@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sievelight.llm.common import small_batches
 from sievelight.llm.components import components
 from sievelight.llm.tokens import WHITE, release, text_slices
 from sievelight.session import written
@@ -383,7 +384,7 @@ def join_components(docs: DataFrame) -> DataFrame:
     with a null doc_id lend no name (alone, their component is null); rows with equal doc_ids are rows
     of their own. Shingles and classes are compared by 64-bit hashes.
     """
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    docs = small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"))
     rows = written(set_table(docs), "ngram-rows")
     roots = linked_classes(docs, rows)
     classes = rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n"))

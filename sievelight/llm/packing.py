@@ -11,9 +11,11 @@ from sievelight.llm.tokens import crc32, with_ids
 from sievelight.session import written
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 4096, digests: bool = False) -> DataFrame:
     """Pack ``doc_id, text`` into sequences of ``length`` ids; one row per piece, with its ids.
 
+    With ``digests``, ``ids_crc32`` stands in place of the ids.
+
     First pass: texts are encoded where they lie and written with their place in their partition; no
     text or id is shuffled. The partitions' totals (one row each, so they may be sent to all) are summed up to global offsets.
     Second pass: window ``i`` holds the ids at offsets ``i * length`` on; a document that crosses a
@@ -22,7 +24,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 4096) -> Da
     The order is that of the scan. Null texts count as empty and hold the end id alone; repeated and
     null doc_ids are documents of their own; an empty table gives no rows.
 
-    Columns: ``doc_id, start, length, doc_tokens, sequence_id, offset, ids``.
+    Columns: ``doc_id, start, length, doc_tokens, sequence_id, offset, ids`` (or ``ids_crc32``).
     """
     import pyarrow as pa
 
@@ -31,7 +33,12 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 4096) -> Da
     offsets = before(totals, "part", "_n", "_before").select("part", "_before")
     placed = rows.join(F.broadcast(offsets), "part").select("doc_id", (F.col("first") + F.col("_before")).alias("at"), "ids")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
+    names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32" if digests else "ids"]
+
+    def last(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+        if digests:
+            return pa.array([crc32(values[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.int64())
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
 
     def run(batches):
         for batch in batches:
@@ -54,31 +61,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 4096) -> Da
                     pa.array(sizes[doc]),
                     pa.array(sequence),
                     pa.array(begin - sequence * length),
-                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values)),
+                    last(values, ends),
                 ],
                 names=names,
             )
 
-    return placed.mapInArrow(
-        run,
-        f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids array<int>",
-    )
-
-
-def piece_digests(pieces: DataFrame) -> DataFrame:
-    """The pieces with ``ids_crc32`` in place of their ids."""
-    import pyarrow as pa
-
-    kept = [c for c in pieces.columns if c != "ids"]
-
-    def run(batches):
-        for batch in batches:
-            lists = batch.column("ids")
-            values, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
-            sums = [crc32(values[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array(sums, pa.int64())], names=[*kept, "ids_crc32"]
-            )
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema if f.name != "ids")
-    return pieces.mapInArrow(run, f"{fields}, ids_crc32 long")
+    kinds = f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long"
+    return placed.mapInArrow(run, f"{kinds}, {'ids_crc32 long' if digests else 'ids array<int>'}")

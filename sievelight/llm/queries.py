@@ -33,7 +33,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return packing.piece_digests(packing.pack(docs, tokenizer("word_bpe_49k.json"), end_id=2, length=4096))
+    return packing.pack(docs, tokenizer("word_bpe_49k.json"), end_id=2, length=4096, digests=True)
 
 
 @query

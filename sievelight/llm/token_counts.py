@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sievelight.llm.common import small_batches
 from sievelight.llm.tokens import Stretches, WordModel, joined_lists, load_tokenizer, text_slices
 from sievelight.session import written
 
@@ -73,7 +74,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, common: int = 100_000, common_
     import pyarrow as pa
 
     spark = docs.sparkSession
-    narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    narrow = small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"))
 
     def distinct(batches):
         names: list[str] = []

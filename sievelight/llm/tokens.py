@@ -10,6 +10,8 @@ across it. Some marks are cut off, too. A text with a space beside other white s
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import unicodedata
 import zlib
@@ -18,6 +20,8 @@ from itertools import chain
 
 import numpy as np
 
+from sievelight.llm.common import small_batches
+
 # Kept stretches, ids and long stretches' bytes per worker; beyond any of them the cache starts again.
 ENTRIES = 1_000_000
 IDS = 8_000_000
@@ -335,6 +339,8 @@ def release() -> None:
     if _ENCODERS:
         _ENCODERS.clear()
         pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def text_slices(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -390,4 +396,4 @@ def with_ids(docs, path: str, end: int):
                 )
                 first += int(cuts[-1])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, schema)

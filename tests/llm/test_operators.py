@@ -111,6 +111,10 @@ def test_packing(docs, length):
     for p in pieces:
         own = slice(p["start"], p["start"] + p["length"])
         assert any(x[own] == p["ids"] and len(x) == p["doc_tokens"] for i, x in want if i == p["doc_id"])
+    digests = packing.pack(docs, path("word_bpe_49k.json"), 2, length, digests=True).collect()
+    assert collections.Counter((r["doc_id"], r["start"], r["ids_crc32"]) for r in digests) == collections.Counter(
+        (p["doc_id"], p["start"], crc(p["ids"])) for p in pieces
+    )
 
 
 def test_token_counts(docs):

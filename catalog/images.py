@@ -11,7 +11,7 @@ from sievelight.sources.images import read_image_blob
 
 
 def headers(t: Tables):
-    return image_checks.image_header(t.images, jpeg=False, full=False)
+    return image_checks.image_header(t.images)
 
 
 def gray_files(t: Tables):
@@ -41,13 +41,13 @@ FILE_COLUMNS = "filepath filename format size_mb width height mode is_corrupt er
 
 @query("validate_image_files", f"SELECT {', '.join(FILE_COLUMNS)} FROM k_files")
 def _(t):
-    files = image_checks.validate_image_files(t.sample_files, jpeg=False, full=False)
+    files = image_checks.validate_image_files(t.sample_files)
     return files.withColumn("errors", F.array_join("errors", "; "))
 
 
 @query("image_valid_files", "SELECT filepath, is_valid FROM k_files")
 def _(t):
-    files = image_checks.validate_image_files(t.sample_files, jpeg=False, full=False)
+    files = image_checks.validate_image_files(t.sample_files)
     return files.select("filepath", "is_valid")
 
 
@@ -55,9 +55,7 @@ ROW_SQL = "SELECT id, img_width, img_height, img_mode, img_corrupt, img_error, i
 
 
 def checked_rows(t: Tables):
-    return image_checks.validate_image_rows(
-        t.samples, t.sample_files, "path", jpeg=False, full=False
-    )
+    return image_checks.validate_image_rows(t.samples, t.sample_files, "path")
 
 
 @query("validate_image_rows", ROW_SQL)

@@ -22,8 +22,8 @@ def pairs(column):
 
 
 def flagged(t: Tables):
-    """Samples with text and image flags; the header-only files have no checksum to test."""
-    return flag_rows(t.samples, "id", Config(), t.sample_files, jpeg=False, full=False)
+    """Samples with text and image flags."""
+    return flag_rows(t.samples, "id", Config(), t.sample_files)
 
 
 # shaping
@@ -86,7 +86,8 @@ def _(t):
 
 @query("filter_nonempty_sources", "SELECT doc_id, 'source_1' AS _source FROM documents")
 def _(t):
-    return shaping.union_sources([None, t.documents.select("doc_id"), None])
+    no_rows = t.part.where("p_partkey < 0").select(F.lit("x").alias("doc_id"), F.lit(1).alias("junk"))
+    return shaping.union_sources([None, t.documents.select("doc_id"), no_rows])
 
 
 # filters
@@ -149,7 +150,7 @@ def _(t):
 
 @query("fn_errors_array", "SELECT filepath, errors, errors <> '' AS bad FROM k_files")
 def _(t):
-    files = image_checks.validate_image_files(t.sample_files, jpeg=False, full=False)
+    files = image_checks.validate_image_files(t.sample_files)
     return files.select(
         "filepath", F.array_join("errors", "; ").alias("errors"), (F.size("errors") > 0).alias("bad")
     )
@@ -304,7 +305,7 @@ def _(t):
 
 @query("histogram_bins_size", _histogram_sql("k_files WHERE is_valid", "size_mb", 20))
 def _(t):
-    files = image_checks.validate_image_files(t.sample_files, jpeg=False, full=False)
+    files = image_checks.validate_image_files(t.sample_files)
     return _rounded(counts.histogram_bins(files.where("is_valid"), "size_mb", 20))
 
 
@@ -349,7 +350,7 @@ def _pairs_sql(source: str, column: str) -> str:
   {_pairs_sql("k_flagged WHERE img_valid", "img_mode")} AS modes FROM k_flagged""",
 )
 def _(t):
-    rows = image_checks.validate_image_rows(t.samples, t.sample_files, "path", jpeg=False, full=False)
+    rows = image_checks.validate_image_rows(t.samples, t.sample_files, "path")
     return reports.image_report(rows).withColumns(
         {
             "mean_width": F.round("mean_width", 6),
@@ -366,7 +367,7 @@ def _(t):
   {_pairs_sql("k_files", "format")} AS formats FROM k_files""",
 )
 def _(t):
-    files = image_checks.validate_image_files(t.sample_files, jpeg=False, full=False)
+    files = image_checks.validate_image_files(t.sample_files)
     return reports.image_summary(files).withColumn("formats", pairs(F.col("formats")))
 
 
@@ -382,7 +383,7 @@ SELECT (SELECT count(*) FROM k_flagged) AS total_raw, CAST(total AS BIGINT) AS t
 
 @query("pipeline_summary", RUN_SUMMARY_SQL)
 def _(t):
-    run = run_quality(t.samples, image_files=t.sample_files, jpeg=False, full=False)
+    run = run_quality(t.samples, image_files=t.sample_files)
     summary = run.summary.drop("generated_at")
     return summary.withColumns(
         {"splits": pairs(F.col("splits")), "label_distribution": pairs(F.col("label_distribution"))}

@@ -2,9 +2,68 @@
 
 The views run unchanged in Spark and DuckDB and keep every row of their table. They plant nulls,
 blanks, symbol-only and padded texts, unknown codes, broken bytes, rows whose image is stored under
-another name, and one image that a third of the rows share.
+another name, damaged files of several formats, and one image that a third of the rows share.
 """
 
+import struct
+import zlib
+
+
+def _png(width: int, height: int, color: int, channels: int) -> bytes:
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    rows = zlib.compress(bytes(height * (1 + width * channels)))
+    head = struct.pack(">IIBBBBB", width, height, 8, color, 0, 0, 0)
+    return bytes.fromhex("89504E470D0A1A0A") + chunk(b"IHDR", head) + chunk(b"IDAT", rows) + chunk(b"IEND", b"")
+
+
+def _jpeg(width: int, height: int) -> bytes:
+    frame = struct.pack(">HBHHB", 17, 8, height, width, 3) + bytes(9)
+    return b"\xff\xd8\xff\xc0" + frame + b"\xff\xda\x00\x02\x11\x22\xff\xd9"
+
+
+def _bmp(width: int, height: int) -> bytes:
+    body = bytes(height * (width * 3 + -width * 3 % 4))
+    head = struct.pack("<IiiHHIIiiII", 40, width, height, 1, 24, 0, len(body), 0, 0, 0, 0)
+    return b"BM" + struct.pack("<IHHI", 54 + len(body), 0, 0, 54) + head + body
+
+
+def _webp(width: int, height: int) -> bytes:
+    body = bytes(3) + b"\x9d\x01\x2a" + struct.pack("<HH", width, height)
+    rest = b"WEBPVP8 " + struct.pack("<I", len(body)) + body
+    return b"RIFF" + struct.pack("<I", len(rest)) + rest
+
+
+_RGB, _BAD = _png(64, 48, 2, 3), "image file is truncated or broken"
+# The planted files: bytes, width, height, mode, problem.
+PICTURES = [
+    (_RGB, 64, 48, "RGB", None),
+    (_png(31, 50, 0, 1), 31, 50, "L", None),
+    (_png(90, 33, 6, 4), 90, 33, "RGBA", None),
+    (_jpeg(120, 80), 120, 80, "RGB", None),
+    (_bmp(33, 8), 33, 8, "RGB", None),
+    (_webp(200, 100), 200, 100, "RGB", None),
+    (_RGB + b"\n", 64, 48, "RGB", None),  # bytes after the end do no harm
+    (_jpeg(50, 40) + bytes(2), 50, 40, "RGB", None),
+    (_RGB[:-9], None, None, None, _BAD),
+    (_RGB[:45] + bytes([_RGB[45] ^ 1]) + _RGB[46:], None, None, None, _BAD),  # a broken data chunk
+    (_jpeg(60, 60)[:-2], None, None, None, _BAD),
+    (_bmp(40, 8)[:-5], None, None, None, _BAD),
+    (b"xx", None, None, None, "cannot identify image file"),
+]
+
+
+def _content(number: str) -> str:
+    """SQL for the bytes of a planted file by its number, in both engines."""
+    cases = " ".join(f"WHEN {i} THEN unhex('{data.hex().upper()}')" for i, (data, *_) in enumerate(PICTURES))
+    return f"CASE {number} % {len(PICTURES)} {cases} END"
+
+
+def _literal(value) -> str:
+    return "NULL" if value is None else f"'{value}'" if isinstance(value, str) else str(value)
+
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
@@ -49,16 +108,12 @@ FROM documents""",
 SELECT concat(CASE WHEN doc_id % 13 = 0 THEN 'moved/' ELSE 'img/' END, CAST(doc_id AS STRING),
     CASE doc_id % 3 WHEN 0 THEN '.png' WHEN 1 THEN '.JPG' ELSE '.txt' END) AS path,
   CAST(n_chars * 3000 AS BIGINT) AS length,
-  CASE WHEN doc_id % 17 = 0 THEN unhex('7878')
-    ELSE unhex(concat('89504E470D0A1A0A0000000D49484452', lpad(hex(n_chars % 400 + 20), 8, '0'),
-      lpad(hex(n_chars % 300 + 25), 8, '0'), CASE n_chars % 3 WHEN 0 THEN '0802' WHEN 1 THEN '0800' ELSE '0806' END, '000000')) END AS content
+  """ + _content("n_chars") + """ AS content
 FROM documents""",
     "v_images": """
 SELECT p_partkey AS id,
   concat(CASE WHEN p_partkey % 10 = 9 THEN 'scan_' ELSE 'img_' END, CAST(p_partkey AS STRING), '.png') AS img_key,
-  CASE WHEN p_partkey % 17 = 0 THEN unhex('7878') WHEN p_partkey % 29 = 0 THEN NULL
-    ELSE unhex(concat('89504E470D0A1A0A0000000D49484452', lpad(hex(p_size * 4), 8, '0'),
-      lpad(hex(p_size * 3 + 5), 8, '0'), '0802000000')) END AS content
+  CASE WHEN p_partkey % 29 = 0 THEN NULL ELSE """ + _content("p_size") + """ END AS content
 FROM part""",
     "v_predictions": """
 SELECT id, y_true, a0 / (a0 + a1 + a2) AS p0, a1 / (a0 + a1 + a2) AS p1, a2 / (a0 + a1 + a2) AS p2
@@ -72,14 +127,13 @@ WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{20
 LETTERS = r"a-zA-Z0-9\x{00C0}-\x{024F}"
 
 
-def _header(content: str) -> str:
-    """Width, height and mode of a PNG header in hex, as the check engine reads them."""
+def _headers(columns: str, source: str) -> str:
+    """Rows with the size, mode and problem of their file, by its bytes; without bytes it is unreadable."""
     return f"""
-  CASE WHEN png THEN CAST(concat('0x', substr(hx, 33, 8)) AS INTEGER) END AS width,
-  CASE WHEN png THEN CAST(concat('0x', substr(hx, 41, 8)) AS INTEGER) END AS height,
-  CASE WHEN png THEN CASE substr(hx, 51, 2) WHEN '00' THEN 'L' WHEN '02' THEN 'RGB' WHEN '06' THEN 'RGBA' END END AS mode,
-  NOT png AS is_corrupt
-FROM (SELECT *, hex({content}) AS hx, coalesce(hex({content}) LIKE '89504E470D0A1A0A0000000D49484452%', false) AS png"""
+SELECT {columns}, CAST(width AS INTEGER) AS width, CAST(height AS INTEGER) AS height, mode,
+  CASE WHEN hx IS NULL THEN 'cannot identify image file' ELSE problem END AS problem,
+  hx IS NULL OR problem IS NOT NULL AS is_corrupt
+FROM {source} f LEFT JOIN k_pictures p ON hex(f.content) = p.hx"""
 
 
 CHECK_CTES = {
@@ -101,17 +155,18 @@ FROM (SELECT *, CAST(length(text_clean) AS INTEGER) AS char_length,
     text IS NULL AS is_null, text_clean = '' AS is_empty,
     length(text_clean) < 10 AS too_short, length(text_clean) > 10000 AS too_long
   FROM (SELECT *, regexp_replace(coalesce(text, ''), '^{WS}+|{WS}+$', '', 'g') AS text_clean FROM v_samples) c) f""",
-    "k_sample_headers": f"""
-SELECT path, length, {_header('content')} FROM v_sample_files) h""",
-    "k_image_headers": f"""
-SELECT id, img_key, {_header('content')} FROM v_images) h""",
+    "k_pictures": "SELECT * FROM (VALUES "
+    + ", ".join(f"('{d.hex().upper()}', {w}, {h}, {m}, {p})" for d, *rest in PICTURES for w, h, m, p in [map(_literal, rest)])
+    + ") AS pictures(hx, width, height, mode, problem)",
+    "k_sample_headers": _headers("path, length", "v_sample_files"),
+    "k_image_headers": _headers("id, img_key", "v_images"),
     "k_files": """
 SELECT path AS filepath, regexp_extract(path, '[^/]+$') AS filename,
   lower(regexp_extract(path, '\\.[^./]+$')) AS format, round(length / 1e6, 3) AS size_mb,
   width, height, mode, is_corrupt,
   concat_ws('; ', CASE WHEN round(length / 1e6, 3) > 10 THEN concat('Quá lớn: ', CAST(round(length / 1e6, 3) AS VARCHAR), ' MB') END,
     CASE WHEN width < 32 OR height < 32 THEN concat('Quá nhỏ: ', width, 'x', height, ' (tối thiểu 32x32)') END,
-    CASE WHEN is_corrupt THEN 'Corrupt: cannot identify image file' END) AS errors,
+    CASE WHEN is_corrupt THEN concat('Corrupt: ', problem) END) AS errors,
   NOT is_corrupt AND NOT round(length / 1e6, 3) > 10 AND NOT (width < 32 OR height < 32) AS is_valid
 FROM k_sample_headers""",
     "k_flagged": """
@@ -119,7 +174,7 @@ SELECT *, img_error IS NULL AND NOT img_corrupt AS img_valid
 FROM (SELECT t.*, h.width AS img_width, h.height AS img_height, h.mode AS img_mode,
     coalesce(h.is_corrupt, false) AS img_corrupt,
     CASE WHEN t.image_path IS NULL THEN 'Không có ảnh' WHEN h.path IS NULL THEN 'File không tồn tại'
-      WHEN h.is_corrupt THEN 'cannot identify image file'
+      WHEN h.is_corrupt THEN h.problem
       WHEN h.width < 32 OR h.height < 32 THEN concat('Quá nhỏ: ', h.width, 'x', h.height) END AS img_error
   FROM k_text_ml t LEFT JOIN k_sample_headers h ON t.image_path = h.path) j""",
     "k_clean": """

@@ -1,11 +1,13 @@
 """Image headers and integrity, read from the file bytes by built-in expressions.
 
-Only JPEG needs a Python worker: its header is a chain of segments whose lengths point to the next.
+Only chains need a Python worker: the segments of a JPEG and the chunks of a PNG, whose lengths point to
+the next.
 """
 
 from __future__ import annotations
 
 import struct
+import zlib
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,7 +18,6 @@ from sievelight.functions.binding import let
 
 # First bytes of the known formats, and pixel modes by the header's colour codes.
 PNG_START = "89504E470D0A1A0A0000000D49484452"
-PNG_END = "0000000049454E44AE426082"
 JPEG_START = "FFD8FF"
 BMP_START = "424D"
 WEBP_TAG = "57454250"
@@ -190,17 +191,54 @@ def header(content: Column, jpeg: bool = True) -> Column:
     )
 
 
-def whole(content: Column, kind: Column) -> Column:
-    """True when the file is complete: header checksum, end marker or stated length."""
+def png_whole(data: bytes) -> bool:
+    """Every chunk has its checksum up to the end chunk; what follows that does not matter."""
+    at = 8
+    while at + 12 <= len(data):
+        end = at + 12 + struct.unpack_from(">I", data, at)[0]
+        if end > len(data) or zlib.crc32(data[at + 4 : end - 4]) != struct.unpack_from(">I", data, end - 4)[0]:
+            return False
+        if data[at + 4 : at + 8] == b"IEND":
+            return True
+        at = end
+    return False
+
+
+def jpeg_whole(data: bytes) -> bool:
+    """The end marker comes after the segments and the scan; what follows it does not matter."""
+    at = 2
+    while at + 2 <= len(data) and data[at] == 0xFF:
+        marker = data[at + 1]
+        if marker == 0xD9:
+            return True
+        if marker == 0xDA:
+            return data.find(b"\xff\xd9", at + 2) >= 0
+        if marker == 0xFF:
+            at += 1
+        elif marker == 0x01 or 0xD0 <= marker <= 0xD8:
+            at += 2
+        elif at + 4 <= len(data):
+            at += 2 + struct.unpack_from(">H", data, at + 2)[0]
+        else:
+            return False
+    return False
+
+
+@F.pandas_udf(T.BooleanType())
+def _walked(content: pd.Series) -> pd.Series:
+    """Whether a PNG or JPEG file is complete."""
+    return pd.Series(
+        [None if c is None else (jpeg_whole if c[:2] == b"\xff\xd8" else png_whole)(bytes(c)) for c in content], dtype=object
+    )
+
+
+def whole(content: Column, kind: Column, walked: Column) -> Column:
+    """True when the file is complete: ``walked`` for PNG and JPEG, else the stated length."""
     size = F.octet_length(content)
-    tail = F.hex(F.substring(content, -12, 12))
-    png = (F.crc32(F.substring(content, 13, 17)) == _big(content, 30, 4)) & (tail == PNG_END)
-    jpeg = F.hex(F.substring(content, -2, 2)) == "FFD9"
     bmp = _little(content, 3, 4) <= size
     webp = _little(content, 5, 4) + 8 <= size
     return F.coalesce(
-        F.when(kind == "png", png)
-        .when(kind == "jpeg", jpeg)
+        F.when(kind.isin("png", "jpeg"), walked)
         .when(kind == "bmp", bmp)
         .when(kind == "webp", webp)
         .otherwise(kind.isNotNull()),
@@ -211,11 +249,15 @@ def whole(content: Column, kind: Column) -> Column:
 def check(content: Column, jpeg: bool = True, full: bool = True) -> Column:
     """``struct<width,height,mode,is_corrupt,problem>`` of a file's bytes.
 
-    ``full`` also checks that the file is complete.
+    ``full`` also checks that the file is complete: chunk checksums, end markers, stated lengths.
     """
+    start = _hex(content, 1, 16)
+    walk = F.when((start == PNG_START) | start.startswith(JPEG_START), content)
+    walked = _walked(walk) if full else F.lit(True)
 
-    def checked(h: Column) -> Column:
-        complete = whole(content, h["kind"]) if full else F.lit(True)
+    def checked(both: Column) -> Column:
+        h = both["header"]
+        complete = whole(content, h["kind"], both["walked"]) if full else F.lit(True)
         problem = F.when(h.isNull(), F.lit(UNREADABLE)).when(~complete, F.lit(INCOMPLETE))
         return let(
             problem,
@@ -228,4 +270,4 @@ def check(content: Column, jpeg: bool = True, full: bool = True) -> Column:
             ),
         )
 
-    return let(header(content, jpeg), checked)
+    return let(F.struct(header(content, jpeg).alias("header"), walked.alias("walked")), checked)

@@ -63,14 +63,14 @@ def union_sources(
 ) -> DataFrame | None:
     """UNION ALL by column name; absent columns become null, clashing types become string.
 
-    A source is named by its position among all inputs, the absent ones included. ``None`` and frames
-    without columns are left out; a frame without rows adds nothing to a union anyway. None if no
-    source is left.
+    A source is named by its position among all inputs, the absent ones included. ``None``, frames
+    without columns and frames without rows are left out, so that these change no types; looking for a
+    row reads no more than one. None if no source is left.
     """
     named = [
         tag_source(df, source_names[i] if source_names else f"source_{i}")
         for i, df in enumerate(frames)
-        if df is not None and df.columns
+        if df is not None and df.columns and not df.isEmpty()
     ]
     return union_by_name(named)
 

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,23 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(system.globStatus(hadoop_path))
 
 
+# What counts as a number or a truth value; Spark's own casts take more, such as yes, F or 1D.
+SPELLINGS = {
+    "bigint": r"^[+-]?[0-9]+$",
+    "double": r"(?i)^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity)$",
+    "boolean": r"^(true|false|True|False|TRUE|FALSE)$",
+}
+
+
+def _cast(value: Column, kind: str) -> Column:
+    """The trimmed text as a value of this type, or null if it is not spelled like one."""
+    value = F.trim(value)
+    kind = {"int": "bigint", "float": "double"}.get(kind, kind)
+    if kind in SPELLINGS:
+        value = F.when(value.rlike(SPELLINGS[kind]), value)
+    return value.try_cast(kind)
+
+
 def _typed(text: DataFrame, schema: T.StructType) -> DataFrame:
     """Null the missing tokens, then cast each text column to its type; a bad cell becomes null."""
     columns = []
@@ -37,7 +54,7 @@ def _typed(text: DataFrame, schema: T.StructType) -> DataFrame:
         value = F.col(f"`{field.name}`")
         value = F.when(~value.isin(*MISSING), value)
         if not isinstance(field.dataType, T.StringType):
-            value = F.trim(value).try_cast(field.dataType)
+            value = _cast(value, field.dataType.simpleString()).try_cast(field.dataType)
         columns.append(value.alias(field.name))
     return text.select(*columns)
 
@@ -47,10 +64,10 @@ def _infer(text: DataFrame) -> T.StructType:
     checks = []
     for c in text.columns:
         value = F.col(f"`{c}`")
-        value = F.when(~value.isin(*MISSING), F.trim(value))
+        value = F.when(~value.isin(*MISSING), value)
         for kind in ("bigint", "double", "boolean"):
             checks.append(
-                F.count_if(value.isNotNull() & value.try_cast(kind).isNull()).alias(f"{kind} {c}")
+                F.count_if(value.isNotNull() & _cast(value, kind).isNull()).alias(f"{kind} {c}")
             )
         checks.append(F.count(value).alias(f"any {c}"))
     bad = text.agg(*checks).first()
@@ -99,17 +116,22 @@ def _empty(spark: SparkSession, schema: T.StructType | str | None) -> DataFrame:
 
 
 def read_csv_lenient(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True
 ) -> DataFrame:
     """Like ``read_csv_strict``, but an absent path gives an empty table."""
-    return read_csv_strict(spark, path, schema) if exists(spark, path) else _empty(spark, schema)
+    return read_csv_strict(spark, path, schema, multi_line) if exists(spark, path) else _empty(spark, schema)
 
 
 def extract_text_data(
-    spark: SparkSession, path: str, text_col: str, label_col: str | None = None
+    spark: SparkSession,
+    path: str,
+    text_col: str,
+    label_col: str | None = None,
+    schema: T.StructType | str | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Text and label column of a CSV; empty when the file or the text column is absent."""
-    return extract_text_columns(read_csv_lenient(spark, path), text_col, label_col)
+    return extract_text_columns(read_csv_lenient(spark, path, schema, multi_line), text_col, label_col)
 
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"

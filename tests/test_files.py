@@ -36,6 +36,16 @@ def test_csv_types_missing_tokens_and_quotes(spark, tmp_path):
     assert declared.columns == ["name", "id"]
 
 
+def test_csv_words_are_no_numbers_or_truth_values(spark, tmp_path):
+    path = tmp_path / "w.csv"
+    path.write_text("a,b,c,d,e\nyes,F,1D,1e5,True\nno,F,2F,.5,FALSE\n")
+    df = files.read_csv_strict(spark, str(path), multi_line=False)
+    assert [f.dataType.simpleString() for f in df.schema.fields] == ["string", "string", "string", "double", "boolean"]
+    assert tuple(df.where("a = 'no'").first()) == ("no", "F", "2F", 0.5, False)
+    declared = files.read_csv_strict(spark, str(path), "c double, d float, e boolean").collect()
+    assert [tuple(r) for r in declared] == [(None, 100000.0, True), (None, 0.5, False)]
+
+
 def test_absent_csv(spark, tmp_path):
     gone = str(tmp_path / "gone.csv")
     with pytest.raises(FileNotFoundError):

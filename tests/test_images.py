@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from sievelight.config import Config
+from sievelight.functions.image_bytes import jpeg_whole, png_whole
 from sievelight.operators import image_checks, pixels
 from sievelight.sources import images
 from tests import files as make
@@ -31,6 +32,15 @@ FILES = {
 }
 
 
+def test_damage_inside_and_bytes_after_the_end():
+    png, jpeg = FILES["a.png"][0], FILES["b.jpg"][0]
+    at = png.index(b"IDAT") + 10
+    assert png_whole(png) and png_whole(png + b"\n") and jpeg_whole(jpeg) and jpeg_whole(jpeg + bytes(2))
+    assert not png_whole(png[:at] + bytes([png[at] ^ 1]) + png[at + 1 :])
+    assert not any(png_whole(png[:n]) for n in range(8, len(png), 7))
+    assert not any(jpeg_whole(jpeg[:n]) for n in (2, 20, len(jpeg) - 1))
+
+
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):
     root = tmp_path_factory.mktemp("images")

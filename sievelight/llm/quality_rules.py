@@ -112,41 +112,43 @@ def log_binomial_tail(failed: Column, n: Column, rate: float) -> Column:
     return top + F.log(down)
 
 
+def steps() -> list[tuple[str, int]]:
+    """The fixed sequence: each step tightens one rule, all rules by one cutoff before any by the next."""
+    longest = max(len(cuts) for _, cuts in RULES.values())
+    return [(name, cuts[i]) for i in range(longest) for name, (_, cuts) in RULES.items() if i < len(cuts)]
+
+
 def choose_cutoffs(labelled: DataFrame, risk: float = 0.02, confidence: float = 0.95) -> DataFrame:
     """``stratum, symbols, repeats, ...``: the chosen cutoff per stratum and rule, null for none.
 
-    ``labelled`` has the features and ``quality`` of labelled rows. A cutoff passes if the exact binomial
-    upper bound of its false rejections is at most ``risk / rules``: that is, if so few rejected good
-    rows would have a probability below the level under a larger rate. The level is ``1 - confidence``
-    shared among all strata and rules (Bonferroni); within a rule the cutoffs are tried from mild to
-    strict and the search ends at the first that fails (fixed-sequence testing), which needs no further
-    share. So with the given confidence, no stratum loses more than ``risk`` of its good rows to all
-    rules together. Where too few rows are labelled, nothing passes and nothing is rejected.
+    ``labelled`` has the features and ``quality`` of labelled rows. All rules are tested together, along
+    one fixed sequence from mild to strict (``steps``). A step passes if the exact binomial upper bound of
+    the good rows that any rule rejects at it is at most ``risk``: that is, if so few rejected good rows
+    would have a probability below the level under a larger rate. The level is ``1 - confidence`` shared
+    among the strata (Bonferroni); the search ends at the first step that fails (fixed-sequence testing),
+    which needs no further share. So with the given confidence, no stratum loses more than ``risk`` of
+    its good rows to all rules together. A stratum needs ``log(level) / log(1 - risk)`` good rows (217
+    with four strata); with fewer, nothing passes and nothing is rejected.
     """
     good = labelled.filter(F.col("quality") == 1)
-    limit = risk / len(RULES)
-    sums = [F.count("*").alias("n")]
-    for name, (_, cuts) in RULES.items():
-        sums += [F.count_if(F.col(name) > c).alias(f"{name}_{i}") for i, c in enumerate(cuts)]
-    totals = good.groupBy("stratum").agg(*sums)
-    level = (1 - confidence) / (len(RULES) * F.count("*").over(W.partitionBy(F.lit(0))))
-    tests = F.array(
-        *(
-            F.struct(F.lit(name).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cut"), F.col(f"{name}_{i}").alias("failed"))
-            for name, (_, cuts) in RULES.items()
-            for i, c in enumerate(cuts)
-        )
-    )
+    path = steps()
+    # The first step that rejects the row; null if none does.
+    first = F.least(*(F.when(F.col(name) > cut, F.lit(i)) for i, (name, cut) in enumerate(path)))
+    sums = [F.count_if(F.col("first") <= i).alias(f"failed_{i}") for i in range(len(path))]
+    totals = good.select("stratum", first.alias("first")).groupBy("stratum").agg(F.count("*").alias("n"), *sums)
+    level = (1 - confidence) / F.count("*").over(W.partitionBy(F.lit(0)))
+    tests = F.array(*(F.struct(F.lit(i).alias("step"), F.col(f"failed_{i}").alias("failed")) for i in range(len(path))))
     rows = totals.withColumn("level", level).select("stratum", "n", "level", F.inline(tests))
-    can = F.col("failed") < F.col("n") * limit
-    tail = log_binomial_tail(F.when(can, F.col("failed")).otherwise(F.lit(0).cast("long")), F.col("n"), limit)
+    can = F.col("failed") < F.col("n") * risk
+    tail = log_binomial_tail(F.when(can, F.col("failed")).otherwise(F.lit(0).cast("long")), F.col("n"), risk)
     rows = rows.withColumn("passed", can & (tail <= F.log("level")))
-    sequence = W.partitionBy("stratum", "rule").orderBy("step")
+    sequence = W.partitionBy("stratum").orderBy("step")
     rows = rows.withColumn("passed", F.every("passed").over(sequence))
-    chosen = rows.groupBy("stratum").agg(
-        *(F.max_by("cut", F.when((F.col("rule") == name) & F.col("passed"), F.col("step"))).alias(name) for name in RULES)
+    last = rows.groupBy("stratum").agg(F.max(F.when(F.col("passed"), F.col("step"))).alias("last"))
+    return last.select(
+        "stratum",
+        *(F.least(*(F.when(F.col("last") >= i, F.lit(cut)) for i, (rule, cut) in enumerate(path) if rule == name)).alias(name) for name in RULES),
     )
-    return chosen
 
 
 def judge(

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.llm import language, mixing, ngram_join, packing, pii
-from sievelight.llm.common import table
+from sievelight.llm.common import ROW, table, with_row_key
 from sievelight.llm.queries import tokenizer
 from sievelight.session import written
 
@@ -33,17 +33,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest doc_id of each group of near copies.
 
-    Of rows with one doc_id, one stays. Rows with a null doc_id stay unless a document with an id is a
-    copy of theirs; they are told apart by their row.
+    Of rows with that doc_id, the first stays. Rows are told apart by their row, so different texts of one
+    doc_id stay. Rows with a null doc_id stay.
     """
-    groups = written(ngram_join.join_components(docs), "components")
-    gone = groups.filter("component_id != doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    repeated = written(groups.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+    keyed = with_row_key(docs)
+    return keyed.join(ngram_join.surplus_rows(keyed, ROW), ROW, "left_anti").select(docs.columns)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from functools import cache
 
 import numpy as np
@@ -207,8 +208,8 @@ def sketches(hashes: np.ndarray, cuts: np.ndarray, words: int = SKETCH) -> np.nd
     return np.packbits(odd.astype(np.uint8).reshape(n, words, 64), axis=2).view(np.int64).reshape(n, words)
 
 
-def set_table(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, class, s0, ...`` per row; ``class`` is null for an empty set."""
+def set_table(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` and ``n_shingles, class, s0, ...`` per row; ``class`` is null for an empty set."""
 
     def run(batches):
         for batch, i, j, hashes, cuts, classes in _sets(batches):
@@ -218,17 +219,17 @@ def set_table(docs: DataFrame) -> DataFrame:
                 part = sketches(hashes[cuts[a] : cuts[b]], cuts[a : b + 1] - cuts[a])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(i + a, b - a),
+                        *(batch.column(name).slice(i + a, b - a) for name in keep),
                         pa.array(sizes[a:b]),
                         pa.array(classes[a:b], mask=sizes[a:b] == 0),
                         *(pa.array(np.ascontiguousarray(part[:, k])) for k in range(SKETCH)),
                     ],
-                    names=["doc_id", "n_shingles", "class", *SKETCHES],
+                    names=[*keep, "n_shingles", "class", *SKETCHES],
                 )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kept = ", ".join(f"{name} {docs.schema[name].dataType.simpleString()}" for name in keep)
     words = ", ".join(f"{name} long" for name in SKETCHES)
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, class long, {words}")
+    return docs.select(*keep, "text").mapInArrow(run, f"{kept}, n_shingles long, class long, {words}")
 
 
 def may_link(a: str, b: str) -> Column:
@@ -375,6 +376,28 @@ def _checked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return written(verified(pairs, written(sets_of(docs, classes), "ngram-sets")), "ngram-links")
 
 
+def _rows_and_roots(docs: DataFrame, keep: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The written ``set_table`` of the rows, and ``class, root`` of the linked classes."""
+    docs = small_batches(docs).select(*keep, F.col("text").cast("string").alias("text"))
+    rows = written(set_table(docs, keep), "ngram-rows")
+    return rows, linked_classes(docs, rows).withColumnRenamed("node", "class")
+
+
+def surplus_rows(docs: DataFrame, key: str) -> DataFrame:
+    """The ``key`` of all rows but one of each component; ``key`` is unique and not null.
+
+    The row with the smallest ``doc_id, key`` stays. Rows with a null doc_id are not listed.
+    Components are named by classes, so rows with one doc_id and different texts are apart. Rows without
+    shingles are not listed.
+    """
+    rows, roots = _rows_and_roots(docs, ("doc_id", key))
+    rows = rows.filter("class is not null and doc_id is not null")
+    order = F.struct("doc_id", key)
+    first = rows.groupBy("class").agg(F.min(order).alias("first")).join(roots, "class", "left")
+    stay = first.groupBy(F.coalesce("root", "class").alias("root")).agg(F.min("first").alias("first"))
+    return rows.select(key).join(stay.select(f"first.{key}"), key, "left_anti")
+
+
 def join_components(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of ``doc_id, text``.
 
@@ -384,11 +407,9 @@ def join_components(docs: DataFrame) -> DataFrame:
     with a null doc_id lend no name (alone, their component is null); rows with equal doc_ids are rows
     of their own. Shingles and classes are compared by 64-bit hashes.
     """
-    docs = small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"))
-    rows = written(set_table(docs), "ngram-rows")
-    roots = linked_classes(docs, rows)
+    rows, roots = _rows_and_roots(docs, ("doc_id",))
     classes = rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n"))
-    named = classes.join(roots.withColumnRenamed("node", "class"), "class", "left")
+    named = classes.join(roots, "class", "left")
     named = named.withColumn("root", F.coalesce("root", "class"))
     ids = named.groupBy("root").agg(F.min("_first").alias("component_id"), F.sum("_n").alias("_all"))
     # Classes that stand alone name themselves.

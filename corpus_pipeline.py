@@ -31,10 +31,10 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group of near copies.
+    """Keep one document of each group of near copies: the one with the smallest doc_id.
 
-    Of rows with that doc_id, the first stays. Rows are told apart by their row, so different texts of one
-    doc_id stay. Rows with a null doc_id stay.
+    Of rows with that doc_id, the first stays; a row with a null doc_id stays if no row of its group has an
+    id, and then the first does. Rows are told apart by their row, so different texts of one doc_id stay.
     """
     keyed = with_row_key(docs)
     return keyed.join(ngram_join.surplus_rows(keyed, ROW), ROW, "left_anti").select(docs.columns)

@@ -386,13 +386,13 @@ def _rows_and_roots(docs: DataFrame, keep: Sequence[str]) -> tuple[DataFrame, Da
 def surplus_rows(docs: DataFrame, key: str) -> DataFrame:
     """The ``key`` of all rows but one of each component; ``key`` is unique and not null.
 
-    The row with the smallest ``doc_id, key`` stays. Rows with a null doc_id are not listed.
+    The row with the smallest ``doc_id, key`` stays, one with a null doc_id only if no row has an id.
     Components are named by classes, so rows with one doc_id and different texts are apart. Rows without
     shingles are not listed.
     """
     rows, roots = _rows_and_roots(docs, ("doc_id", key))
-    rows = rows.filter("class is not null and doc_id is not null")
-    order = F.struct("doc_id", key)
+    rows = rows.filter("class is not null")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", key)
     first = rows.groupBy("class").agg(F.min(order).alias("first")).join(roots, "class", "left")
     stay = first.groupBy(F.coalesce("root", "class").alias("root")).agg(F.min("first").alias("first"))
     return rows.select(key).join(stay.select(f"first.{key}"), key, "left_anti")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -125,7 +127,7 @@ def choose_cutoffs(labelled: DataFrame, risk: float = 0.02, confidence: float =
     one fixed sequence from mild to strict (``steps``). A step passes if the exact binomial upper bound of
     the good rows that any rule rejects at it is at most ``risk``: that is, if so few rejected good rows
     would have a probability below the level under a larger rate. The level is ``1 - confidence`` shared
-    among the strata (Bonferroni); the search ends at the first step that fails (fixed-sequence testing),
+    among the strata with enough good rows to pass a test at all (Bonferroni); the search ends at the first step that fails (fixed-sequence testing),
     which needs no further share. So with the given confidence, no stratum loses more than ``risk`` of
     its good rows to all rules together. A stratum needs ``log(level) / log(1 - risk)`` good rows (217
     with four strata); with fewer, nothing passes and nothing is rejected.
@@ -136,7 +138,9 @@ def choose_cutoffs(labelled: DataFrame, risk: float = 0.02, confidence: float =
     first = F.least(*(F.when(F.col(name) > cut, F.lit(i)) for i, (name, cut) in enumerate(path)))
     sums = [F.count_if(F.col("first") <= i).alias(f"failed_{i}") for i in range(len(path))]
     totals = good.select("stratum", first.alias("first")).groupBy("stratum").agg(F.count("*").alias("n"), *sums)
-    level = (1 - confidence) / F.count("*").over(W.partitionBy(F.lit(0)))
+    # With fewer rows a stratum could not pass even at the whole level: it is not tested and takes no share.
+    totals = written(totals.filter(F.col("n") >= math.ceil(math.log(1 - confidence) / math.log1p(-risk))), "quality-totals")
+    level = F.lit((1 - confidence) / max(1, totals.count()))
     tests = F.array(*(F.struct(F.lit(i).alias("step"), F.col(f"failed_{i}").alias("failed")) for i in range(len(path))))
     rows = totals.withColumn("level", level).select("stratum", "n", "level", F.inline(tests))
     can = F.col("failed") < F.col("n") * risk
@@ -155,16 +159,15 @@ def judge(
     docs: DataFrame,
     labels: DataFrame,
     stratum: str = "lang",
-    strata: int = 64,
     risk: float = 0.02,
     confidence: float = 0.95,
 ) -> DataFrame:
     """Base counts of ``doc_id, text`` and a verdict; ``labels`` has ``doc_id, quality``.
 
     ``base_failed``: fewer than 20 words, or more than 30 % of them in repeated windows. ``kept`` is
-    false for these; the others are kept unless they fail a rule at their stratum's cutoff. The ``strata``
-    strata with most labels stand alone, all others form one. Cutoffs are
-    chosen on the labelled rows that pass the base, so the guarantee is for what the rules add.
+    false for these; the others are kept unless they fail a rule at their stratum's cutoff. Every
+    stratum stands alone. Cutoffs are chosen on the labelled rows that pass the base, so the guarantee is
+    for what the rules add.
 
     Texts are read once. Null texts count as empty (base failed); a null stratum is one of its own;
     rows with equal doc_ids are judged alone; labels that disagree about a doc_id all count, null ones
@@ -178,19 +181,10 @@ def judge(
     rows = rows.withColumns({name: F.expr(rule) for name, (rule, _) in RULES.items()})
     marks = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).dropna()
     labelled = rows.filter(~F.col("base_failed")).join(marks, "doc_id")
-    # One row for each of at most ``strata`` names.
-    large = labelled.groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(strata).select("stratum", F.lit(True).alias("_large"))
-    large = written(large, "quality-strata")
-
-    def grouped(frame: DataFrame) -> DataFrame:
-        named = large.withColumnRenamed("stratum", "_name")
-        found = frame.join(F.broadcast(named), F.col("stratum").eqNullSafe(F.col("_name")), "left")
-        key = F.struct(F.coalesce("_large", F.lit(False)).alias("own"), F.when(F.col("_large"), F.col("stratum")).alias("name"))
-        return found.withColumn("stratum", key).drop("_name", "_large")
-
-    cutoffs = choose_cutoffs(grouped(labelled), risk, confidence)
-    cutoffs = cutoffs.select(F.col("stratum").alias("_own"), *(F.col(c).alias(f"_{c}") for c in RULES))
-    judged = grouped(rows).join(F.broadcast(cutoffs), F.col("stratum").eqNullSafe(F.col("_own")), "left")
+    # One row for each stratum in which a step passed.
+    cutoffs = choose_cutoffs(labelled, risk, confidence).filter(F.coalesce(*RULES).isNotNull())
+    cutoffs = written(cutoffs.select(F.col("stratum").alias("_own"), *(F.col(c).alias(f"_{c}") for c in RULES)), "quality-cutoffs")
+    judged = rows.join(cutoffs, F.col("stratum").eqNullSafe(F.col("_own")), "left")
     failed = [F.coalesce(F.col(c) > F.col(f"_{c}"), F.lit(False)) for c in RULES]
     any_failed = failed[0]
     for f in failed[1:]:

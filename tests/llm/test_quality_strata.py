@@ -34,3 +34,15 @@ def test_the_joint_rejections_are_bounded(spark):
     assert [(r["symbols"], r["repeats"], r["lines"], r["capitals"]) for r in got] == [(2000, None, None, None)]
     milder = table.withColumn("repeats", F.lit(0)).withColumn("lines", F.lit(0))
     assert [r["symbols"] for r in quality_rules.choose_cutoffs(milder).collect()] == [20]
+
+
+def test_small_strata_are_not_pooled(spark):
+    """64 strata with more labels, and many small ones that are unlike the smallest."""
+    rows = [(f"large{i}", PLAIN, 1) for i in range(64) for _ in range(42)]
+    rows += [(f"small{i}", PLAIN, 1) for i in range(46) for _ in range(40)] + [("rare", JUNK, 1)] * 5
+    assert all(kept for _, _, kept in judged(spark, rows))
+
+
+def test_strata_too_small_to_pass_take_no_share(spark):
+    rows = [("en", PLAIN, 1)] * 150 + [("en", JUNK, 0)] * 3 + [(f"small{i}", PLAIN, 1) for i in range(200)]
+    assert all(kept == (quality == 1) for _, quality, kept in judged(spark, rows))

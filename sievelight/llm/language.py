@@ -73,7 +73,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], size: in
 
     ``rows`` are (buckets, counts) per text. The temperature minimises the log loss of the calibration
     rows. ``least`` is the score below which at most ``miss`` of the rightly labelled calibration rows
-    lie, and never above 0.5.
+    lie.
     """
     languages = sorted(set(labels))
     y = np.array([languages.index(x) for x in labels])
@@ -122,7 +122,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], size: in
     temperature = float(choices[np.argmin([-np.log(np.maximum(p, 1e-12)).mean() for p in right])])
     scores = _softmax(logits / temperature)
     good = scores.max(axis=1)[scores.argmax(axis=1) == y[check]]
-    least = float(min(0.5, np.quantile(good, miss, method="lower"))) if len(good) else 0.0
+    least = float(np.quantile(good, miss, method="lower")) if len(good) else 0.0
     return Model(languages, model.table, bias, temperature, least)
 
 

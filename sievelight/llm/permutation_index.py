@@ -58,34 +58,33 @@ def search_block(space: Space, ids, vectors, query_ids, queries, k: int, share:
     Inverted files: per pivot, the vectors that have it among their nearest, with its place. With places
     ``a`` and ``b`` of a shared pivot, the footrule distance of two orders cut at ``L`` is a constant
     less twice the sum of ``L - max(a, b)`` over shared pivots; so the postings of a query's pivots are
-    summed up, and the best ``share`` of the block (at least ``least``; all that tie with the last) are
+    summed up (kept as one row of ``L - a`` per pivot, 0 where absent), and the best ``share`` of the block (at least ``least``; all that tie with the last) are
     ranked by their inner product in double precision.
     """
     length = space.prefix
     orders = space.orders(vectors, as_queries=False)
-    pivot, row = orders.ravel(), np.repeat(np.arange(len(ids)), length)
-    by_pivot = np.argsort(pivot, kind="stable")
-    place = np.tile(np.arange(length), len(ids))[by_pivot]
-    row = row[by_pivot]
-    cuts = np.searchsorted(pivot[by_pivot], np.arange(len(space.pivots) + 1))
+    kind = np.min_scalar_type(length)
+    left = length - np.arange(length, dtype=np.int64)
+    postings = np.zeros((len(space.pivots), len(ids)), kind)
+    postings[orders, np.arange(len(ids))[:, None]] = left.astype(kind)
     take = min(len(ids), max(least, math.ceil(share * len(ids))))
     out = []
     for query_id, query, order in zip(query_ids, queries, space.orders(queries, as_queries=True)):
         if take < len(ids):
-            lists = [slice(cuts[p], cuts[p + 1]) for p in order]
-            rows = np.concatenate([row[s] for s in lists])
-            gains = np.concatenate([length - np.maximum(place[s], i) for i, s in enumerate(lists)])
-            gain = np.bincount(rows, gains, len(ids))
+            gain = np.minimum(postings[order], left.astype(kind)[:, None]).sum(axis=0, dtype=np.uint32)
             chosen = np.flatnonzero(gain >= np.partition(gain, len(ids) - take)[len(ids) - take])
         else:
             chosen = np.arange(len(ids))
         chosen = chosen[ids[chosen] != query_id]
         # One fixed order of additions per vector, so that equal vectors have equal scores.
         score = (vectors[chosen] * query).sum(axis=1)
+        if len(score) > k:
+            near = score >= np.partition(score, len(score) - k)[len(score) - k]
+            chosen, score = chosen[near], score[near]
         best = np.lexsort((ids[chosen], -score))[:k]
-        out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[chosen[best]], "score": score[best]}))
+        out.append((np.repeat(query_id, len(best)), ids[chosen[best]], score[best]))
     columns = ["query_id", "vec_id", "score"]
-    return pd.concat(out)[columns] if out else pd.DataFrame(columns=columns)
+    return pd.DataFrame(dict(zip(columns, map(np.concatenate, zip(*out))))) if out else pd.DataFrame(columns=columns)
 
 
 def search(
@@ -93,7 +92,7 @@ def search(
     query_filter,
     k: int = 20,
     pivots: int = 256,
-    prefix: int = 48,
+    prefix: int = 64,
     share: float = 0.25,
     least: int = 400,
     block: int = 4096,

@@ -134,7 +134,7 @@ def _(t):
 
 def labelled_vectors(t: Tables):
     return split.split_three_way(
-        t.embeddings.select("vec_id", "embedding", "label"), "label", "vec_id"
+        t.embeddings.select("vec_id", "embedding", "label").where("label IS NOT NULL"), "label", "vec_id"
     )
 
 

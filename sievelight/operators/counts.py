@@ -166,15 +166,11 @@ def split_sizes(df: DataFrame, split: str = "split") -> DataFrame:
 
 
 def split_distribution(df: DataFrame, label: str, split: str = "split") -> DataFrame:
-    """Share of each class inside its split, three decimals.
+    """Share of each class inside its split, three decimals; rows without a label are a class.
 
     The totals per split come from the same small table of counts.
     """
-    counts = (
-        df.where(F.col(label).isNotNull())
-        .groupBy(split, label)
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
+    counts = df.groupBy(split, label).agg(F.count(F.lit(1)).alias("count"))
     totals = counts.groupBy(split).agg(F.sum("count").alias("_total"))
     return (
         counts.join(totals, split)

@@ -24,10 +24,21 @@ def fit_classes(df: DataFrame, label: str) -> DataFrame:
     return names.distinct().select(label, number.cast("int").alias("code"))
 
 
+def name_null_class(df: DataFrame, label: str, name: str = "nan") -> DataFrame:
+    """Labels as strings; rows without one are the class ``name``."""
+    return df.withColumn(label, F.coalesce(F.col(label).cast("string"), F.lit(name)))
+
+
 def label_encode(
-    df: DataFrame, label: str, out: str = "label_encoded", classes: DataFrame | None = None
+    df: DataFrame, label: str, out: str = "label_encoded", classes: DataFrame | None = None,
+    null_class: str | None = None,
 ) -> DataFrame:
-    """Add the class code; a null label gets a null code. With ``classes``, an unseen label raises."""
+    """Add the class code. With ``classes``, an unseen label raises.
+
+    A null label gets a null code, or the code of the class ``null_class`` if that is given.
+    """
+    if null_class is not None:
+        df = name_null_class(df, label, null_class)
     fitted = fit_classes(df, label) if classes is None else classes
     known = fitted.withColumnRenamed("code", out)
     rows = df.withColumn(label, F.col(label).cast("string"))
@@ -107,11 +118,16 @@ def encode_tabular(
     scaler: Scaler | None = None,
     classes: DataFrame | None = None,
     fit_on: DataFrame | None = None,
+    null_class: str | None = None,
 ) -> tuple[DataFrame, Scaler, DataFrame]:
     """Scaled features (as ``features``) and class codes (as ``y``), with the fitted parts.
 
     Without ``scaler`` and ``classes`` they are fitted on ``fit_on`` (the training rows), or on ``df``.
+    ``null_class`` as in ``label_encode``.
     """
+    if null_class is not None:
+        df = name_null_class(df, label, null_class)
+        fit_on = None if fit_on is None else name_null_class(fit_on, label, null_class)
     columns = [c for c in columns if c in df.columns]
 
     def floats(frame: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Sizes: ``ceil(share * n)`` rows are held out; each class keeps the floor of its proportional part and
 the left-over seats go to the largest remainders, ties by class. Members: inside a class the rows are
-taken in the order of md5(key:seed), so a split is the same in every run and on every cluster.
+taken in the order of md5(key:seed), so a split is the same in every run and on every cluster. Rows
+without a label are a class of their own.
 
 The rows themselves are never shuffled or ranked. Per class only the order key of the last row of each
 part is needed. It is found from counts per (class, md5 prefix) and the rows of the one prefix that
@@ -57,6 +58,11 @@ def keep_quota(classes: DataFrame, label: str, size: str, share: float, out: str
     ).drop("_n", "_keep", "_base", "_rest", "_seats", "_place", "_k")
 
 
+def _class(label: str) -> Column:
+    """The class of a row as a key that is never null, also without a label; in the order of the labels."""
+    return F.struct(F.col(label).alias("label")).alias("_class")
+
+
 def fit_cuts(
     df: DataFrame, label: str, key: str | Sequence[str], shares: Sequence[float], seed: int = 42
 ) -> DataFrame:
@@ -65,8 +71,7 @@ def fit_cuts(
     ``shares`` are held out one after the other, each from what the earlier ones left.
     """
     rows = (
-        df.where(F.col(label).isNotNull())
-        .select(F.col(label).alias("_class"), _order(key, seed).alias("_order"))
+        df.select(_class(label), _order(key, seed).alias("_order"))
         .withColumn("_bucket", hash_bucket(F.col("_order")))
     )
     buckets = rows.groupBy("_class", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -97,7 +102,7 @@ def fit_cuts(
         .withColumn("_i", F.row_number().over(inside))
         .where(F.col("_i") == F.col("_nth"))
     )
-    return ends.groupBy(F.col("_class").alias(label)).agg(
+    return ends.groupBy(F.col("_class.label").alias(label)).agg(
         *[F.max(F.when(F.col("_cut") == i, F.col("_order"))).alias(f"cut_{i + 1}")
           for i in range(len(shares))]
     )
@@ -109,8 +114,8 @@ def _assign(
 ) -> DataFrame:
     """``names``: the held-out parts in order, then the part that is kept to the end."""
     cuts = fit_cuts(df, label, key, shares, seed)
-    labelled = df.where(F.col(label).isNotNull()).withColumn("_order", _order(key, seed))
-    placed = attach(labelled, cuts, label)
+    classed = df.select("*", _class(label), _order(key, seed).alias("_order"))
+    placed = attach(classed, cuts.select(_class(label), *cuts.columns[1:]), "_class")
     part = F.when(F.col(f"cut_{len(shares)}") >= F.col("_order"), F.lit(names[-1]))
     for i in range(len(shares) - 1, 0, -1):
         part = part.when(F.col(f"cut_{i}") >= F.col("_order"), F.lit(names[i]))
@@ -121,7 +126,7 @@ def split_two_way(
     df: DataFrame, label: str, key: str | Sequence[str], test_size: float = 0.2,
     seed: int = 42, out: str = "split",
 ) -> DataFrame:
-    """``train`` / ``test``. Rows without a label are left out."""
+    """``train`` / ``test``."""
     return _assign(df, label, key, [test_size], ["test", "train"], seed, out)
 
 

@@ -95,8 +95,8 @@ class MammogramRun:
 def run_mammogram(
     df: DataFrame, images: DataFrame | None = None, epochs: int = 20, birads: str = "BI-RADS"
 ) -> MammogramRun:
-    """Encode, split 80/20, fit on the training rows, score the test rows."""
-    coded = encode.encode_mias(df, birads)
+    """Encode, split 80/20, fit on the training rows, score the test rows; rows without a severity are left out."""
+    coded = encode.encode_mias(df, birads).where(F.col("SEVERITY_NUM").isNotNull())
     parts = written(split.split_two_way(coded, "SEVERITY_NUM", "REFNUM"), "mammogram_split")
     train, test = (parts.where(F.col("split") == name) for name in ("train", "test"))
     fitted = fit_table(train)

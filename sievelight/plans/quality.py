@@ -91,15 +91,16 @@ def run_quality(
     flagged = written(flag_rows(df, key, cfg, image_files, jpeg, full), "flagged")
     clean = shaping.clean_filter(flagged)
     label = cfg.label_column
-    splits, encoded = None, clean
+    splits, encoded, named = None, clean, clean
     if label in clean.columns:
-        encoded = encode.label_encode(clean, label)
+        named = encode.name_null_class(clean, label)
+        encoded = encode.label_encode(named, label)
         splits = split.split_three_way_ratio(
             encoded, label, key, cfg.test_size, cfg.val_size, cfg.random_state
         )
     return QualityRun(
         flagged, clean, encoded, splits, shaping.clean_counts(flagged),
-        reports.run_summary(flagged, clean, splits, label), cfg,
+        reports.run_summary(flagged, named, splits, label), cfg,
     )
 
 

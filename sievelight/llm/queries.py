@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm import language, mixing, ngram_join, packing, permutation_index, pii, quality_rules, sharding, token_counts, token_files
+from sievelight.llm import check_sql, language, line_dedup, merkle, mixing, ngram_join, packing, periodic_runs, permutation_index
+from sievelight.llm import pii, quality_rules, sharding, token_counts, token_files
 from sievelight.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +27,16 @@ def query(fn):
     return fn
 
 
+def checked(sql: str):
+    """Register with SQL that gives the same rows."""
+
+    def register(fn):
+        ORACLES[fn.__name__] = sql
+        return query(fn)
+
+    return register
+
+
 @query
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2)
@@ -84,3 +96,32 @@ def op9_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(table(spark, sf_dir, "documents"))
+
+
+@checked(check_sql.PERIODIC_RUNS)
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_periodic_tails(table(spark, sf_dir, "documents"))
+    return periodic_runs.digests(periodic_runs.find_runs(docs, least=12))
+
+
+@checked(check_sql.merkle())
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    rows = merkle.manifest(
+        table(spark, sf_dir, "documents"),
+        columns=["doc_id", "source", "lang", "n_chars", "text"],
+        by="lang",
+        order="doc_id",
+        claimed={"text": F.when(third, lower).otherwise(F.col("text"))},
+    )
+    return rows.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(F.col("proof").cast("binary"), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+@checked(check_sql.LINE_DEDUP)
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.without_repeated_lines(table(spark, sf_dir, "documents"), least=10)
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

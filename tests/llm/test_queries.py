@@ -17,6 +17,9 @@ COLUMNS = {
     "op8": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"},
     "op9": {"doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"},
     "op10": {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"},
+    "op11": {"doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"},
+    "op12": {"doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"},
+    "op13": {"doc_id", "n_lines", "n_dropped", "kept_sha256"},
 }
 
 

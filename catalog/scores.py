@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from catalog.features import LABEL_SQL, LESION, scaled_sql
 from catalog.images import gray_files
 from catalog.registry import Tables, query
-from sievelight.functions import codes
-from sievelight.operators import classify, metrics, pixels, split
+from sievelight.functions import bijection, codes
+from sievelight.operators import classify, importance, metrics, pixels, split
 from sievelight.plans import lesion, mammogram
 
 
@@ -142,7 +142,7 @@ def part(df, name):
     return df.where(F.col("split") == name)
 
 
-@query("train_classifier")
+@query("train_vectors")
 def _(t):
     rows = labelled_vectors(t)
     model = classify.train_classifier(part(rows, "train"), "embedding", "label", 10)
@@ -150,7 +150,7 @@ def _(t):
     return metrics.argmax_class(scored, "probabilities").select("vec_id", "label", "y_pred")
 
 
-@query("predict_proba")
+@query("predict_vectors")
 def _(t):
     rows = labelled_vectors(t)
     model = classify.train_classifier(part(rows, "train"), "embedding", "label", 10, linear=True)
@@ -159,7 +159,7 @@ def _(t):
     return scored.select("vec_id", F.round(total, 6).alias("total"), F.array_max("probabilities").alias("best"))
 
 
-@query("select_model")
+@query("select_vectors")
 def _(t):
     rows = labelled_vectors(t)
     model, _tried = classify.select_model(
@@ -169,15 +169,84 @@ def _(t):
     return classify.evaluate_model(model, part(rows, "test"), "embedding", "label")
 
 
-@query("permutation_importance")
+@query("mammogram_importance")
 def _(t):
-    run = mammogram.run_mammogram(t.mias, birads="BIRADS")
-    return run.importance()
+    return mammogram.run_mammogram(t.mias, birads="BIRADS").importance()
 
 
-@query("mammogram_report")
+# training where the class follows from one feature, so that the right answers are known
+
+
+def ruled(t: Tables):
+    rows = t.ruled.select("id", "y", F.array("a", "b", "c").alias("x"))
+    return rows.where("id % 5 <> 0"), rows.where("id % 5 = 0")
+
+
+@query("train_classifier", "SELECT id, y, y AS y_pred FROM v_ruled WHERE id % 5 = 0")
+def _(t):
+    train, test = ruled(t)
+    model = classify.train_classifier(train, "x", "y", 3, hidden=(8,), epochs=60)
+    scored = classify.predict_proba(model, test, "x")
+    return metrics.argmax_class(scored, "probabilities").select("id", "y", "y_pred")
+
+
+@query("predict_proba", "SELECT id, 1.0::DOUBLE AS total, y AS likely FROM v_ruled WHERE id % 5 = 0")
+def _(t):
+    train, test = ruled(t)
+    model = classify.train_classifier(train, "x", "y", 3, epochs=60, linear=True)
+    scored = classify.predict_proba(model, test, "x")
+    total = F.aggregate("probabilities", F.lit(0.0), lambda a, v: a + v)
+    likely = F.array_position(F.transform("probabilities", lambda p: p > 0.5), F.lit(True)) - 1
+    return scored.select("id", F.round(total, 6).alias("total"), likely.cast("int").alias("likely"))
+
+
+@query("select_model", "SELECT true AS low_loss, 1.0::DOUBLE AS accuracy, 3::INTEGER AS tried, true AS best_is_kept")
+def _(t):
+    train, test = ruled(t)
+    model, tried = classify.select_model(
+        train, test, "x", "y", 3, grid=({"epochs": 1}, {"epochs": 60, "linear": True}, {"epochs": 60, "hidden": (8,)})
+    )
+    kept = F.abs(F.col("loss") - min(x["loss"] for x in tried)) < 1e-9
+    return classify.evaluate_model(model, test, "x", "y").select(
+        (F.col("loss") < 0.1).alias("low_loss"), "accuracy", F.lit(len(tried)).alias("tried"), kept.alias("best_is_kept")
+    )
+
+
+GIFTS = ", ".join(
+    f"({f}, {r}, {bijection.key_of(42, f, r)}::BIGINT)" for f in range(3) for r in range(1, 6)
+)
+
+
+@query(
+    "permutation_importance",
+    f"""SELECT CASE f WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS feature,
+  round(avg(1 - accuracy), 6) AS importance, round(stddev_pop(1 - accuracy), 6) AS std
+FROM (SELECT f, r, avg(CASE WHEN CASE f WHEN 0 THEN giver.y ELSE taker.y END = taker.y THEN 1.0 ELSE 0.0 END) AS accuracy
+  FROM (SELECT *, {bijection.permute_sql("place", "n", "key")} AS target
+    FROM k_ruled_places, (VALUES {GIFTS}) AS gifts(f, r, key)) giver
+  JOIN k_ruled_places taker ON taker.place = giver.target GROUP BY f, r) scored GROUP BY f""",
+)
+def _(t):
+    train, test = ruled(t)
+    model = classify.train_classifier(train, "x", "y", 3, epochs=60, linear=True)
+    ranked = importance.permutation_importance(model, test, "id", "x", "y", ["a", "b", "c"])
+    return ranked.select("feature", F.round("importance", 6).alias("importance"), F.round("std", 6).alias("std"))
+
+
+@query(
+    "mammogram_report",
+    """WITH tests AS (SELECT class, n - q AS support FROM (
+  SELECT class, n, base + CASE WHEN row_number() OVER (ORDER BY round(rest, 9) DESC, class) <= keep - sum(base) OVER () THEN 1 ELSE 0 END AS q
+  FROM (SELECT *, CAST(floor(n * keep / total) AS BIGINT) AS base, n * keep / total - floor(n * keep / total) AS rest
+    FROM (SELECT *, sum(n) OVER () AS total, CAST(sum(n) OVER () - ceil(CAST(0.2 AS DOUBLE) * sum(n) OVER ()) AS DOUBLE) AS keep
+      FROM (SELECT SEVERITY_NUM AS class, count(*) AS n FROM k_mias GROUP BY SEVERITY_NUM) a) b) c) d)
+SELECT CASE class WHEN 0 THEN 'Normal' WHEN 1 THEN 'Benign' ELSE 'Malignant' END AS class, CAST(support AS BIGINT) AS support, true AS learned FROM tests
+UNION ALL SELECT name, CAST((SELECT sum(support) FROM tests) AS BIGINT), true
+FROM (VALUES ('accuracy'), ('macro avg'), ('weighted avg')) v(name)""",
+)
 def _(t):
-    return mammogram.run_mammogram(t.mias, birads="BIRADS").class_report()
+    report = mammogram.run_mammogram(t.mias, birads="BIRADS").class_report()
+    return report.select("class", "support", (F.least("precision", "recall", "f1") > 0.95).alias("learned"))
 
 
 @query(

@@ -93,6 +93,10 @@ SELECT concat('mdb', lpad(CAST(p_partkey AS STRING), 6, '0')) AS REFNUM,
   CASE p_partkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C/D' END AS DENSITY,
   concat('BI-RADS ', CAST(p_partkey % 5 + 1 AS STRING)) AS BIRADS,
   CASE WHEN p_size % 7 = 0 THEN 'Normal' WHEN p_partkey % 3 = 0 THEN 'Malignant' ELSE 'Benign' END AS SEVERITY
+FROM part""",
+    "v_ruled": """
+SELECT p_partkey AS id, CAST(p_size % 3 AS INT) AS y, CAST(p_size % 3 - 1 AS DOUBLE) AS a,
+  (p_partkey % 5 - 2) / CAST(10 AS DOUBLE) AS b, ((p_partkey * 7) % 11 - 5) / CAST(20 AS DOUBLE) AS c
 FROM part""",
     "v_samples": """
 SELECT doc_id AS id,
@@ -216,6 +220,9 @@ SELECT REFNUM, CASE BG WHEN 'F' THEN 0 WHEN 'G' THEN 1 WHEN 'D' THEN 2 END AS BG
   CASE DENSITY WHEN 'A' THEN 1 WHEN 'B' THEN 2 WHEN 'C/D' THEN 3 END AS DENSITY_NUM,
   CAST(substr(BIRADS, 9) AS INTEGER) AS BIRADS_NUM
 FROM v_mias""",
+    "k_ruled_places": """
+SELECT *, row_number() OVER (ORDER BY md5(concat(CAST(id AS VARCHAR), ':42')), id) - 1 AS place, count(*) OVER () AS n
+FROM v_ruled WHERE id % 5 = 0""",
     "k_terms": r"""
 SELECT id, w[i] AS term FROM (SELECT id, w, unnest(generate_series(1, len(w))) AS i FROM k_words) a
 UNION ALL

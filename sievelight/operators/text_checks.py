@@ -10,10 +10,32 @@ from pyspark.sql import functions as F
 from sievelight.config import Config
 from sievelight.functions import text as fn
 from sievelight.functions.binding import let
+from sievelight.operators import bloom
+from sievelight.session import written
 
 Key = str | Sequence[str]
 
 
+def _keys(key: Key) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def _firsts(digests: DataFrame, keys: list[str]) -> DataFrame:
+    """``key, _copies``: the smallest key of each digest, one row per digest."""
+    groups = digests.groupBy("_digest").agg(F.min(F.struct(*keys)).alias("_first"), F.count(F.lit(1)).alias("_copies"))
+    return groups.select(*[F.col(f"_first.{k}").alias(k) for k in keys], "_copies")
+
+
+def copied_keys(df: DataFrame, text_col: str, key: Key) -> DataFrame:
+    """``key, _copies`` of the rows whose text occurs more than once; ``_copies`` is null but for the first.
+
+    Texts are read once, for their digests; then only keys and digests move.
+    """
+    keys = _keys(key)
+    digests = written(df.select(*keys, fn.digest(F.col(text_col)).alias("_digest")), "digests")
+    return digests.select(*keys).join(_firsts(digests, keys), keys, "left").where("_copies is null or _copies > 1")
+
+
 def mark_copies(
     df: DataFrame,
     text_col: str,
@@ -29,27 +51,32 @@ def mark_copies(
 
     Groups are counted by digest with map-side partial sums, so a text shared by a third of the rows
     is one counter, never one task. The result goes back by the row key, which is unique and spreads
-    evenly: a row is an original exactly when its key is the first of some group.
-    ``key`` must be unique and not null. ``counted`` has the same keys and texts as ``df`` with a
-    shorter lineage; the counts are taken there, so that joins already in ``df`` do not run twice.
+    evenly: a row is an original exactly when its key is the first of some group. ``key`` must be
+    unique and not null.
+
+    A Bloom filter of the keys of copies, small enough for every task, decides most rows where they
+    lie; only those it picks meet the keys themselves, so texts of rows without a copy never move.
+    A frame that comes out of a join by ``key`` meets one key per group as it lies: give ``counted``, the
+    same keys and texts with a shorter lineage, so that the joins already in ``df`` run once.
     """
-    keys = [key] if isinstance(key, str) else list(key)
-    smallest = F.min(keys[0]) if len(keys) == 1 else F.min(F.struct(*keys))
-    groups = (
-        (df if counted is None else counted)
-        .select(*keys, fn.digest(F.col(text_col)).alias("_digest"))
-        .groupBy("_digest")
-        .agg(smallest.alias("_first"), F.count(F.lit(1)).alias("_copies"))
-    )
-    key_of = (lambda k: F.col("_first")) if len(keys) == 1 else (lambda k: F.col(f"_first.{k}"))
-    originals = groups.select(*[key_of(k).alias(k) for k in keys], "_copies")
-    flags = []
-    if first:
-        flags.append(F.col("_copies").isNull().alias(first))
-    if any_:
-        flags.append((F.col("_copies").isNull() | (F.col("_copies") > 1)).alias(any_))
+    keys = _keys(key)
     kept = [c for c in df.columns if c not in (first, any_)]
-    return df.select(*kept).join(originals, keys, "left").select(*kept, *flags)
+
+    def flags(copied: Column) -> list[Column]:
+        """``copied`` is null for a copy and the size of the group for its first."""
+        made = [copied.isNull().alias(first)] if first else []
+        return made + ([(copied.isNull() | (copied > 1)).alias(any_)] if any_ else [])
+
+    if counted is not None:
+        firsts = _firsts(counted.select(*keys, fn.digest(F.col(text_col)).alias("_digest")), keys)
+        return df.select(*kept).join(firsts, keys, "left").select(*kept, *flags(F.col("_copies")))
+    copies = copied_keys(df, text_col, key)
+    copies = copies if any_ else copies.where("_copies is null")
+    picked = bloom.maybe(bloom.filter_bits(copies, *keys), *keys)
+    alone = df.where(~picked).select(*kept, *flags(F.lit(1)))
+    met = df.where(picked).select(*kept).join(copies.withColumn("_met", F.lit(True)), keys, "left")
+    copied = F.when(F.col("_met"), F.col("_copies")).otherwise(F.lit(1))
+    return alone.unionByName(met.select(*kept, *flags(copied)))
 
 
 def drop_copies(df: DataFrame, text_col: str, key: Key) -> DataFrame:

@@ -327,8 +327,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def linked_classes(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """``node, root`` of the classes that links lead to a smaller class; ``rows`` are of ``set_table``.
 
-    Classes with a common key form a list. First each class is checked against one other, the smallest
-    of most of its lists; a large group of near copies is mostly joined by this, at one check each. Then,
+    Classes with a common key form a list. First each class is checked against one other, the one that
+    leads most of its lists; a list is led by its class with the most meetings. A large group of near
+    copies is mostly joined by this, at one check each, as their original leads them. Then,
     within each list, all pairs whose members are not yet in one component are checked, so no link
     between components is missed.
     Sketches go first: they rule out most pairs of a list without any set being moved, and never a link.
@@ -336,8 +337,12 @@ def linked_classes(docs: DataFrame, rows: DataFrame) -> DataFrame:
     known = rows.filter("class is not null").groupBy("class").agg(
         F.first("n_shingles").alias("n"), *(F.first(s).alias(s) for s in SKETCHES)
     )
-    by_key = W.partitionBy("key").orderBy("class")
-    lists = key_table(docs).withColumn("rep", F.min("class").over(by_key)).filter("rep != class")
+    met = key_table(docs).withColumn("_met", F.count("*").over(W.partitionBy("key"))).filter("_met > 1")
+    met = written(met, "ngram-keys")
+    # A hub, the text that others were copied from, meets them in more lists than they meet each other.
+    degree = met.groupBy("class").agg(F.sum(F.col("_met") - 1).alias("_degree"))
+    hubs = met.join(degree, "class").groupBy("key").agg(F.max_by("class", F.struct("_degree", "class")).alias("rep"))
+    lists = met.select("key", "class").join(hubs, "key").filter("rep != class")
     lists = written(lists, "ngram-lists")
     members = lists.select("class").union(lists.select("rep")).distinct()
     known = written(known.join(members, "class", "left_semi"), "ngram-sketches")

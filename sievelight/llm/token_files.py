@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm.common import before, shuffle_parts, text_crc32
+from sievelight.llm.common import before, shuffle_parts
 from sievelight.llm.tokens import crc32, with_ids
 from sievelight.session import shared_dir
 
@@ -31,12 +31,14 @@ def write_token_table(
     few pages, and metadata is read without touching ids.
 
     Null texts count as empty. Rows with a null doc_id come first. Rows with one doc_id keep all their
-    ids, in the order of their texts' checksums. The texts move once, by range; nothing is collected.
+    ids, in the order of their texts' lengths, then of the texts. The texts move once, by range; nothing
+    is collected.
     """
     parts = parts or shuffle_parts(docs.sparkSession)
     keyed = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    tie = [text_crc32(F.col("text")), F.xxhash64("text")]
-    spread = keyed.repartitionByRange(parts, "doc_id", *tie).sortWithinPartitions("doc_id", *tie)
+    # Texts are compared only where id and length are equal.
+    size = F.octet_length("text")
+    spread = keyed.repartitionByRange(parts, "doc_id", size).sortWithinPartitions("doc_id", size, "text")
     writer = with_ids(spread, tokenizer, end_id).write.options(
         **{
             "compression": "zstd",

@@ -168,7 +168,8 @@ def manifest(
         leaf_hash([F.col(c) for c in columns]).alias("digest"),
         leaf_hash(claims).alias("claim"),
     )
-    leaves = written(numbered(rows, ["id", "digest", "claim"]), "manifest-leaves")
+    # Written first, so that texts are read and hashed once: range bounds take a pass of their own.
+    leaves = written(numbered(written(rows, "manifest-rows"), ["id", "digest", "claim"]), "manifest-leaves")
     inside = _levels(leaves, depth)
     subroots = inside[-1].select(F.lit("").alias("tree"), F.col("tree").alias("by"), "digest")
     tops = written(numbered(subroots, ["by"]), "manifest-subroots")

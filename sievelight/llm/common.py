@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,10 +44,28 @@ ROW = "_row_key"
 
 
 def with_row_key(df: DataFrame) -> DataFrame:
-    """The frame, written, with a unique number per row; ids may be null or repeated."""
+    """The frame with a key per row that stays the same whenever it is read; ids may be null or repeated.
+
+    A frame that has such a column ROW already is returned as it is (see ``with_file_rows``). Else the
+    frame is written, with a number.
+    """
+    if ROW in df.columns:
+        return df
     return written(df.withColumn(ROW, F.monotonically_increasing_id()), "keyed-rows")
 
 
+def with_file_rows(scan: DataFrame) -> DataFrame:
+    """A scan of Parquet files with the file and the row's place in it as row key: nothing is written.
+
+    Only for a frame just read; a frame that is no scan is returned as it is.
+    """
+    try:
+        file, place = F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")
+        return scan.withColumn(ROW, F.struct(file, place))
+    except AnalysisException:
+        return scan
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

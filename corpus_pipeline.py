@@ -1,7 +1,7 @@
 """From raw documents to packed token sequences, in five stages.
 
-Each stage works on all its predecessor kept; what it returns is written and read again. All stages but
-the last return the columns of ``documents``. Null, empty and very long texts, repeated rows, null ids
+Each stage works on all its predecessor kept; what it returns is written and read again, so a row is named
+by its file and its place there, and no stage writes the texts a second time. All stages but the last return the columns of ``documents``. Null, empty and very long texts, repeated rows, null ids
 and empty tables pass through as each operator's docstring says.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.llm import language, mixing, ngram_join, packing, pii
-from sievelight.llm.common import ROW, table, with_row_key
+from sievelight.llm.common import ROW, table, with_file_rows, with_row_key
 from sievelight.llm.queries import tokenizer
 from sievelight.session import written
 
@@ -36,18 +36,18 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of rows with that doc_id, the first stays; a row with a null doc_id stays if no row of its group has an
     id, and then the first does. Rows are told apart by their row, so different texts of one doc_id stay.
     """
-    keyed = with_row_key(docs)
+    keyed = with_row_key(with_file_rows(docs))
     return keyed.join(ngram_join.surplus_rows(keyed, ROW), ROW, "left_anti").select(docs.columns)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by its kind."""
-    return pii.redact(docs)
+    return pii.redact(with_file_rows(docs)).select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mix the sources to their target weights; rows are the stretches of words that the mix takes."""
-    return mixing.mixed_documents(docs)
+    return mixing.mixed_documents(with_file_rows(docs)).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

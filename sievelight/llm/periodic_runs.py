@@ -166,9 +166,8 @@ def find_runs(docs: DataFrame, least: int = 12) -> DataFrame:
 
     Nothing is shuffled: a text is searched whole where it lies. A null or blank text has no words, no
     runs and an empty ``collapsed``; repeated and null doc_ids are rows of their own; an empty table gives
-    no rows; other columns are left out. A text that repeats itself needs some 12 bytes a word
-    and doubling of its longest repeat, and 200 for each word in a repeated window: a text
-    of 10 MB of repeated words takes about half a GB for the time of its search.
+    no rows; other columns are left out. Memory for the time of one search:
+    some 40 bytes a word, and some 300 for each word in a repeated window (320 MB for a million of them).
     """
     import pyarrow as pa
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievelight.operators.shaping import extract_text_columns
+from sievelight.sources.csv_records import csv_records
 
 # The texts a CSV or workbook reader of pandas takes as missing.
 MISSING = (
@@ -70,6 +71,8 @@ def _infer(text: DataFrame) -> T.StructType:
                 F.count_if(value.isNotNull() & _cast(value, kind).isNull()).alias(f"{kind} {c}")
             )
         checks.append(F.count(value).alias(f"any {c}"))
+    if not checks:
+        return T.StructType()
     bad = text.agg(*checks).first()
     # a column without any value is a float column of NaN in pandas
     fields = []
@@ -97,12 +100,17 @@ def read_csv_strict(
     """CSV with header; raises ``FileNotFoundError`` when the path is absent.
 
     With ``schema`` there is no inference pass: give it for large inputs. Columns are found by name.
-    Line breaks inside quotes keep a file from being split, so one file is one task: pass
-    ``multi_line=False`` for huge single files without such breaks.
+    A large file is read by many tasks, also with line breaks inside quotes (``csv_records``; lines end
+    with a line feed there). ``multi_line=False`` spares its passes where no quoted text holds a break.
     """
     if not exists(spark, path):
         raise FileNotFoundError(f"CSV file not found: {path}")
     text = spark.read.csv(path, header=True, multiLine=multi_line, escape='"', inferSchema=False)
+    if multi_line and text.columns:
+        names = text.columns
+        texts = ", ".join(f"c{i} string" for i in range(len(names)))
+        fields = F.from_csv("record", texts, {"escape": '"', "multiLine": "true"})
+        text = csv_records(spark, path).select(fields.alias("_r")).select("_r.*").toDF(*names)
     if schema is None:
         wanted = _infer(text)
     else:

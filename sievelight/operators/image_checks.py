@@ -101,6 +101,7 @@ def validate_image_rows(
     jpeg: bool = True,
     full: bool = True,
     key: str | Sequence[str] | None = None,
+    base: str | None = None,
 ) -> DataFrame:
     """Add six ``img_`` columns to each row; a blob in the row wins over its path.
 
@@ -108,7 +109,13 @@ def validate_image_rows(
     header fields are joined, so file bytes never go through a shuffle. ``files`` has one row per
     ``file_key`` and a ``content`` column. With a unique ``key`` of the rows, only (key, path) meet
     the headers, and the wide rows move by key alone: once, together with any other join on it.
+    With ``base``, the whole location that relative paths start from, paths of rows and files are
+    compared as whole locations, else as they are written.
     """
+
+    def place(p: Column) -> Column:
+        return (p if base is None else paths.located(p, base)).alias("_place")
+
     blob, path = cfg.image_bytes_column, cfg.image_path_column
     has_blob = bool(blob) and blob in df.columns
     has_path = bool(path) and path in df.columns
@@ -121,14 +128,16 @@ def validate_image_rows(
         given = given | F.col(path).isNotNull()
         if files is not None:
             headers = files.select(
-                F.col(file_key).alias(path),
+                place(F.col(file_key)),
                 image_bytes.check(F.col("content"), jpeg, full).alias("_f"),
             )
             if key is None:
-                rows = salted_join(rows, headers, path, "left")
+                columns = rows.columns
+                rows = salted_join(rows.select("*", place(F.col(path))), headers, "_place", "left")
+                rows = rows.select(*columns, "_f")
             else:
                 keys = [key] if isinstance(key, str) else list(key)
-                met = salted_join(df.select(*keys, path), headers, path, "inner")
+                met = salted_join(df.select(*keys, place(F.col(path))), headers, "_place", "inner")
                 columns = rows.columns
                 rows = rows.join(met.select(*keys, "_f"), keys, "left").select(*columns, "_f")
             found.append(F.col("_f"))

@@ -102,6 +102,7 @@ def read_csv_strict(
     With ``schema`` there is no inference pass: give it for large inputs. Columns are found by name.
     A large file is read by many tasks, also with line breaks inside quotes (``csv_records``; lines end
     with a line feed there). ``multi_line=False`` spares its passes where no quoted text holds a break.
+    The rows have no order; to number them (``with_row_key``) write them first.
     """
     if not exists(spark, path):
         raise FileNotFoundError(f"CSV file not found: {path}")

@@ -19,26 +19,36 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
 
 
+def _qualified(spark: SparkSession, folder: str):
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root)
+
+
+def whole_location(spark: SparkSession, folder: str = ".") -> str:
+    """A folder with its scheme and host; relative ones start from the working folder, as in any read."""
+    return _qualified(spark, folder).toString()
+
+
 def _inside(spark: SparkSession, folder: str, path: Column) -> Column:
     """Path below the folder: unique, and what a row would name to find the file."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    qualified = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root)
-    prefix = qualified.toUri().getPath().rstrip("/")
+    prefix = _qualified(spark, folder).toUri().getPath().rstrip("/")
     local = F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
     return F.substring(local, len(prefix) + 2, 1 << 30)
 
 
 def scan_image_files(
-    spark: SparkSession, folder: str, formats: Sequence[str] = Config.valid_image_formats
+    spark: SparkSession, folder: str, formats: Sequence[str] = Config.valid_image_formats,
+    with_empty: bool = False,
 ) -> DataFrame:
     """``path, modificationTime, length, content`` of the files with a wanted suffix, any case.
 
     The bytes are only read when ``content`` is used. A missing folder gives no rows. Spark's file
-    index leaves out files of zero bytes: add ``empty_image_files`` to have them reported as corrupt.
+    index leaves out files of zero bytes: ``with_empty`` adds them, for a check to report as corrupt.
     """
     if not exists(spark, folder):
         return spark.createDataFrame([], SCAN_SCHEMA)
-    return _files(spark, folder).where(paths.suffix(F.col("path")).isin(*formats))
+    found = _files(spark, folder).where(paths.suffix(F.col("path")).isin(*formats))
+    return found.unionByName(empty_image_files(spark, folder, formats)) if with_empty else found
 
 
 def empty_image_files(
@@ -46,8 +56,11 @@ def empty_image_files(
 ) -> DataFrame:
     """The zero-byte files that ``scan_image_files`` cannot see, in the same columns.
 
-    One listing of the folder tree from the driver; only names of empty files are kept.
+    One listing of the folder tree from the driver; only names of empty files are kept. A missing
+    folder gives no rows.
     """
+    if not exists(spark, folder):
+        return spark.createDataFrame([], SCAN_SCHEMA)
     root = spark._jvm.org.apache.hadoop.fs.Path(folder)
     listing = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
     names = []
@@ -61,9 +74,10 @@ def empty_image_files(
 def scan_counts(
     spark: SparkSession, folder: str, formats: Sequence[str] = Config.valid_image_formats
 ) -> DataFrame:
-    """Files found and files kept, without reading any bytes."""
+    """Files found and files kept, without reading any bytes; none in a missing folder."""
     wanted = paths.suffix(F.col("path")).isin(*formats)
-    return _files(spark, folder).agg(
+    found = _files(spark, folder) if exists(spark, folder) else spark.createDataFrame([], SCAN_SCHEMA)
+    return found.agg(
         F.count(F.lit(1)).alias("n_files"), F.count_if(wanted).alias("n_images")
     )
 
@@ -95,13 +109,19 @@ def read_pixels(spark: SparkSession, folder: str, key: str = "img_id") -> DataFr
 
 
 def read_image_blob(
-    df: DataFrame, files: DataFrame, blob: str, path: str, out: str = "image_bytes"
+    df: DataFrame, files: DataFrame, blob: str, path: str, out: str = "image_bytes",
+    base: str | None = None,
 ) -> DataFrame:
     """Bytes of each row: its own blob, else the content of the file its path names.
 
-    Rows with a blob do not take part in the join.
+    Rows with a blob do not take part in the join. With ``base`` (see ``whole_location``) paths are
+    compared as whole locations, else as they are written.
     """
-    wanted = df.withColumn("_path", F.when(F.col(blob).isNull(), F.col(path)))
-    contents = files.select(F.col("path").alias("_path"), F.col("content").alias("_content"))
+
+    def place(p: Column) -> Column:
+        return p if base is None else paths.located(p, base)
+
+    wanted = df.withColumn("_path", place(F.when(F.col(blob).isNull(), F.col(path))))
+    contents = files.select(place(F.col("path")).alias("_path"), F.col("content").alias("_content"))
     joined = salted_join(wanted, contents, "_path", "left")
     return joined.withColumn(out, F.coalesce(F.col(blob), F.col("_content"))).drop("_path", "_content")

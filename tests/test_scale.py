@@ -169,3 +169,30 @@ def test_split_is_the_same_for_any_partitioning_and_uses_no_wide_shuffle(spark):
     assert "Exchange hashpartitioning" not in one._jdf.queryExecution().executedPlan().toString()
     with pytest.raises(Exception, match="fewer than two"):
         split.split_two_way(df.limit(2).selectExpr("id", "cast(id as string) y"), "y", "id").collect()
+
+
+def test_salts_follow_the_share_of_a_key(spark):
+    skew = lookup.measure_skew(skewed(spark), "k")
+    hot = spark.range(1).select(F.xxhash64(F.lit("hot"))).first()[0]
+    assert skew.salts[hot] in (333, 334) and 60 <= skew.null_salts <= 70
+    assert max(n for h, n in skew.salts.items() if h != hot) <= 20
+    many = spark.range(200_000).selectExpr("if(id % 4 = 0, 'h', cast(id as string)) k")
+    assert list(lookup.measure_skew(many, "k").salts.values()) == pytest.approx([250], abs=2)
+    assert lookup.measure_skew(many.limit(0), "k") == lookup.Skew({}, 0)
+
+
+def test_a_join_without_skew_has_one_exchange_a_side(spark):
+    left = spark.range(5000).selectExpr("id", "cast(id as string) k")
+    right = left.selectExpr("k", "id v")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = lookup.salted_join(left, right, "k")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2 and "Aggregate" not in plan
+
+
+def test_keys_of_other_types_and_empty_sides(spark):
+    left = spark.range(300).selectExpr("id", "named_struct('a', id % 3, 'b', if(id % 2 = 0, null, 'x')) k")
+    right = left.select("k").distinct().withColumn("v", F.lit(1))
+    assert lookup.salted_join(left, right, "k", "left").where("v = 1").count() == 300
+    assert lookup.salted_join(left, right.limit(0), "k", "left_anti").count() == 300
+    assert lookup.salted_join(left.limit(0), right, "k").count() == 0

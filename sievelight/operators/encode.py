@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.functions import codes
 from sievelight.operators.impute import impute_constant
 from sievelight.operators.lookup import attach
+from sievelight.operators.ranking import number_distinct
 
 # The feature columns of the two clinical tables.
 LESION_FEATURES = ("age", "fitspatrick", "diameter_1", "diameter_2")
@@ -18,10 +19,11 @@ MAMMOGRAM_FEATURES = ("BG", "CLASS_NUM", "X", "Y", "RADIUS", "DENSITY_NUM", "BIR
 
 
 def fit_classes(df: DataFrame, label: str) -> DataFrame:
-    """``(label, code)``: classes sorted as strings, numbered from 0. The window only sees classes."""
+    """``(label, code)``: classes sorted as strings, numbered from 0 in ranges of classes, so that no
+    task sees them all."""
     names = df.select(F.col(label).cast("string").alias(label)).where(F.col(label).isNotNull())
-    number = F.row_number().over(Window.orderBy(label)) - 1
-    return names.distinct().select(label, number.cast("int").alias("code"))
+    numbered = number_distinct(names.distinct(), label, "code")
+    return numbered.withColumn("code", F.col("code").cast("int"))
 
 
 def name_null_class(df: DataFrame, label: str, name: str = "nan") -> DataFrame:

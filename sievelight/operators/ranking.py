@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BOUNDS = 255  # of the ranges that distinct values are numbered in
 BUCKET_DIGITS = 3  # 16**3 = 4096 buckets per group
 
 
@@ -84,6 +85,28 @@ def add_rank(
     )
 
 
+def number_distinct(values: DataFrame, column: str, out: str) -> DataFrame:
+    """Number distinct, non-null values of one column from 0 in their order, in many tasks.
+
+    The values with the smallest hashes, BOUNDS of them at most, are an even sample, the same in every run.
+    Sorted, they cut all values into ranges of about equal size. Values are numbered inside their range and
+    the sizes of the earlier ranges are added: a table of BOUNDS + 1 rows, so it is broadcast.
+    """
+    drawn = values.select(column).orderBy(F.xxhash64(column), column).limit(BOUNDS)
+    bounds = drawn.agg(F.sort_array(F.collect_list(column))).scalar()
+    among = F.sort_array(F.array_append(bounds, F.col(column)))
+    ranged = values.select("*", F.array_position(among, F.col(column)).alias("_range"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(column)) - 1
+    return (
+        ranged.withColumn("_place", place)
+        .join(F.broadcast(offsets), "_range")
+        .select(*values.columns, (F.col("_place") + F.col("_before")).alias(out))
+    )
+
+
 def stratified_order(
     df: DataFrame, label: str, key: str | Sequence[str], seed: int = 42, out: str = "position"
 ) -> DataFrame:

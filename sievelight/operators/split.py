@@ -22,9 +22,11 @@ from sievelight.operators.ranking import hash_bucket, shuffle_key
 
 
 def _order(key: str | Sequence[str], seed: int) -> Column:
-    """md5 first, then the key itself, so that two rows never tie."""
+    """md5 first, then the key itself, so that two rows never tie; of several columns with the lengths
+    of the earlier ones, as a separator may stand in them."""
     keys = [key] if isinstance(key, str) else list(key)
-    return F.concat_ws(":", shuffle_key(key, seed), *[F.col(k).cast("string") for k in keys])
+    lengths = [F.length(F.col(k).cast("string")).cast("string") for k in keys[:-1]]
+    return F.concat_ws(":", shuffle_key(key, seed), *[F.col(k).cast("string") for k in keys], *lengths)
 
 
 def keep_quota(classes: DataFrame, label: str, size: str, share: float, out: str) -> DataFrame:

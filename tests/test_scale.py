@@ -196,3 +196,25 @@ def test_keys_of_other_types_and_empty_sides(spark):
     assert lookup.salted_join(left, right, "k", "left").where("v = 1").count() == 300
     assert lookup.salted_join(left, right.limit(0), "k", "left_anti").count() == 300
     assert lookup.salted_join(left.limit(0), right, "k").count() == 0
+
+
+def test_many_classes_are_numbered_in_many_tasks(spark):
+    df = spark.range(120_000).selectExpr("cast(id % 40000 as string) y")
+    codes = encode.fit_classes(df, "y")
+    got = {r["y"]: r["code"] for r in codes.collect()}
+    assert got == {name: i for i, name in enumerate(sorted(map(str, range(40_000))))}
+    plan = codes._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange SinglePartition") <= 3  # of bounds and of range sizes, not of classes
+    sizes = ranking.number_distinct(df.distinct(), "y", "n")
+    assert sizes.schema["n"].dataType.simpleString() == "bigint"
+    assert encode.fit_classes(df.limit(0), "y").count() == 0
+    few = encode.fit_classes(spark.createDataFrame([("b",), ("é",), ("a",), (None,), ("",)], "y string"), "y")
+    assert [r["y"] for r in few.orderBy("code").collect()] == ["", "a", "b", "é"]
+
+
+def test_split_keys_of_two_columns_never_tie(spark):
+    df = spark.createDataFrame([("a:b", "c", "x"), ("a", "b:c", "x"), ("a", "b", "x"), ("d", "e", "x")], "k string, l string, y string")
+    parts = split.split_two_way(df, "y", ["k", "l"], 0.5)
+    assert Counter(r["split"] for r in parts.collect()) == {"train": 2, "test": 2}
+    rows = df.select(split._order(["k", "l"], 42).alias("o")).distinct()
+    assert rows.count() == 4

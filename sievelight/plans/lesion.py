@@ -43,19 +43,23 @@ def prepare_multimodal(
     return image_checks.join_images_inner(ready, image_rows, key)
 
 
+def fill_categories(parts: DataFrame, fit_on: DataFrame) -> DataFrame:
+    """Missing texts become the mode of their column in ``fit_on``; keys, labels and parts stay."""
+    columns = [c for c in impute.string_columns(parts) if c not in (KEY, TARGET, "split")]
+    return impute.fill(parts, impute.fit_modes(fit_on, columns))
+
+
 def train_lesion(
     spark: SparkSession, job: JobConfig, fit_scope: str = "train"
 ) -> tuple[PipelineModel, DataFrame]:
     """Read, clean, split, join, train, evaluate, and write the model and its metrics.
 
-    ``fit_scope="all"`` fits medians and scales on all rows, as a look at the test rows; the default
-    only uses the training rows. Images enter as pooled features. Each is decoded once, whatever the
+    ``fit_scope="all"`` fits modes, medians and scales on all rows, as a look at the test rows; the
+    default only uses the training rows. Images enter as pooled features. Each is decoded once, whatever the
     number of rows that name it.
     """
     raw = files.read_csv_strict(spark, job.csv_path)
     meta = shaping.nulls_for_nan(shaping.normalize_columns(raw))
-    strings = impute.string_columns(meta)
-    meta = impute.fill(meta, impute.fit_modes(meta, [c for c in strings if c != TARGET]))
     decoded = pixels.load_image_rgb(
         images.read_pixels(spark, job.image_dir), KEY, job.image_size, features=True
     ).select(KEY, "image_features")
@@ -64,7 +68,9 @@ def train_lesion(
         meta.where(F.col(TARGET).isNotNull()), decoded.select(KEY), KEY
     )
     parts = written(split.split_three_way(present, TARGET, KEY), "lesion_split")
-    fit_on = parts.where(F.col("split") == "train") if fit_scope == "train" else None
+    train = F.col("split") == "train"
+    parts = fill_categories(parts, parts.where(train) if fit_scope == "train" else meta)
+    fit_on = parts.where(train) if fit_scope == "train" else None
     rows = prepare_multimodal(parts, decoded, fit_on=fit_on)
     fused = written(
         classify.fuse_features(rows, ["features", "image_features"]).select(

@@ -162,6 +162,15 @@ def test_lesion_job(spark, tmp_path):
     assert parse_size("64,32") == (64, 32)
 
 
+def test_modes_come_from_the_training_rows(spark):
+    rows = [("1", "x", "train", "BCC"), ("2", "y", "test", "BCC"), ("3", "y", "test", None), ("4", None, "test", None)]
+    parts = spark.createDataFrame(rows, "img_id string, region string, split string, diagnostic string")
+    filled = lesion.fill_categories(parts, parts.where("split = 'train'")).orderBy("img_id").collect()
+    assert [r["region"] for r in filled] == ["x", "y", "y", "x"] and filled[3]["diagnostic"] is None
+    everything = lesion.fill_categories(parts, parts).orderBy("img_id").collect()
+    assert everything[3]["region"] == "y"
+
+
 def test_stream_of_row_checks(spark, tmp_path):
     schema = "id long, text string"
     source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))

@@ -123,7 +123,7 @@ def steps() -> list[tuple[str, int]]:
 def choose_cutoffs(labelled: DataFrame, risk: float = 0.02, confidence: float = 0.95) -> DataFrame:
     """``stratum, symbols, repeats, ...``: the chosen cutoff per stratum and rule, null for none.
 
-    ``labelled`` has the features and ``quality`` of labelled rows. All rules are tested together, along
+    ``labelled`` has the features and ``quality``, one row for each independent trial (``trials``). All rules are tested together, along
     one fixed sequence from mild to strict (``steps``). A step passes if the exact binomial upper bound of
     the good rows that any rule rejects at it is at most ``risk``: that is, if so few rejected good rows
     would have a probability below the level under a larger rate. The level is ``1 - confidence`` shared
@@ -155,6 +155,18 @@ def choose_cutoffs(labelled: DataFrame, risk: float = 0.02, confidence: float =
     )
 
 
+def trials(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``stratum, doc_id, quality`` and the score by each rule: one row for each labelled document.
+
+    Rows that share a doc_id share its labels, so they are one observation, not several: of their scores
+    the worst counts, as the document loses text at the first step that rejects any of its rows. Scores are
+    reduced to one row per document before the labels are joined, so a doc_id with many rows is no hot key.
+    """
+    worst = rows.filter(F.col("doc_id").isNotNull()).groupBy("stratum", "doc_id").agg(*(F.max(c).alias(c) for c in RULES))
+    marks = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).dropna().distinct()
+    return worst.join(marks, "doc_id")
+
+
 def judge(
     docs: DataFrame,
     labels: DataFrame,
@@ -170,8 +182,8 @@ def judge(
     for what the rules add.
 
     Texts are read once. Null texts count as empty (base failed); a null stratum is one of its own;
-    rows with equal doc_ids are judged alone; labels that disagree about a doc_id all count, null ones
-    do not; no labels: the base alone decides.
+    rows with equal doc_ids are judged alone, but are one trial in the choice of cutoffs; labels that
+    disagree about a doc_id all count, null and repeated ones do not; no labels: the base alone decides.
     """
     rows = written(features(docs, stratum), "quality-features")
     rows = rows.withColumn(
@@ -179,8 +191,7 @@ def judge(
         (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
     )
     rows = rows.withColumns({name: F.expr(rule) for name, (rule, _) in RULES.items()})
-    marks = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).dropna()
-    labelled = rows.filter(~F.col("base_failed")).join(marks, "doc_id")
+    labelled = trials(rows.filter(~F.col("base_failed")), labels)
     # One row for each stratum in which a step passed.
     cutoffs = choose_cutoffs(labelled, risk, confidence).filter(F.coalesce(*RULES).isNotNull())
     cutoffs = written(cutoffs.select(F.col("stratum").alias("_own"), *(F.col(c).alias(f"_{c}") for c in RULES)), "quality-cutoffs")

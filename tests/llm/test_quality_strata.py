@@ -46,3 +46,21 @@ def test_small_strata_are_not_pooled(spark):
 def test_strata_too_small_to_pass_take_no_share(spark):
     rows = [("en", PLAIN, 1)] * 150 + [("en", JUNK, 0)] * 3 + [(f"small{i}", PLAIN, 1) for i in range(200)]
     assert all(kept == (quality == 1) for _, quality, kept in judged(spark, rows))
+
+
+def test_rows_of_one_document_are_one_trial(spark):
+    """300 rows and 300 labels of one document are one observation, whatever their texts are."""
+    rows = [(1, "en", f"{PLAIN} {i}") for i in range(300)] + [(2, "en", JUNK)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(1, 1)] * 300 + [(2, 0)], "doc_id long, quality int")
+    assert quality_rules.judge(docs, labels).filter("not kept").count() == 0
+    features = quality_rules.features(docs).withColumns({n: F.expr(rule) for n, (rule, _) in quality_rules.RULES.items()})
+    assert sorted((r["doc_id"], r["quality"]) for r in quality_rules.trials(features, labels).collect()) == [(1, 1), (2, 0)]
+
+
+def test_a_document_fails_with_its_worst_row(spark):
+    """200 documents of a plain row each, 5 of them with a junk row too: more than 2 % would lose text."""
+    rows = [(i, "en", f"{PLAIN} {i}") for i in range(200)] + [(i, "en", JUNK) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, quality int")
+    assert quality_rules.judge(docs, labels).filter("not kept").count() == 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import re
 
 import numpy as np
@@ -64,11 +66,13 @@ def count_tokens(docs: DataFrame, tokenizer: str, common: int = 100_000, common_
     """``doc_id, n_bytes, n_tokens`` of ``doc_id, text`` with a byte-level tokenizer.
 
     1. All distinct pre-tokens of the corpus, with their number of uses; each is encoded once.
-    2. The ``common`` most used ones of at most ``common_chars`` characters go to every task (this
-       bounds what is sent). A document's frequencies of these are multiplied and summed in place.
+    2. The ``common`` most used ones go to every task; those above ``common_chars`` characters go as
+       their SHA-256 (this bounds what is sent). A document's frequencies of these are multiplied and
+       summed in place.
     3. All other (document, pre-token, frequency) rows are joined to the table of 1 and summed.
 
-    The first table has one row per distinct pre-token, so no pre-token is a hot key of the join.
+    The first table has one row per distinct pre-token, and a pre-token that many documents hold is sent,
+    however long it is, so none is a hot key of the join.
     Null texts count as empty: 0 bytes, 0 tokens. Rows with equal or null doc_ids stay apart.
     """
     import pyarrow as pa
@@ -106,13 +110,18 @@ def count_tokens(docs: DataFrame, tokenizer: str, common: int = 100_000, common_
     uses = narrow.select("text").mapInArrow(distinct, "piece string, uses long")
     uses = uses.groupBy("piece").agg(F.sum("uses").alias("uses"))
     pieces = written(uses.mapInArrow(encode, "piece string, uses long, tokens long"), "pre-tokens")
-    short = pieces.filter(F.length("piece") <= common_chars)
     # The least number of uses that at most ``common`` of them have: from one row per number of uses.
     most = W.partitionBy(F.lit(0)).orderBy(F.desc("uses"))
-    steps = short.groupBy("uses").count().withColumn("_n", F.sum("count").over(most)).filter(F.col("_n") <= common)
+    steps = pieces.groupBy("uses").count().withColumn("_n", F.sum("count").over(most)).filter(F.col("_n") <= common)
     least = steps.agg(F.min("uses")).first()[0]
-    top = short.filter(F.col("uses") >= (least or 0)) if least is not None else short.limit(0)
-    known = spark.sparkContext.broadcast({r.piece: r.tokens for r in top.select("piece", "tokens").collect()})
+    top = pieces.filter(F.col("uses") >= (least or 0)) if least is not None else pieces.limit(0)
+    # Long pieces under their digest: 32 bytes, which no piece is, as pieces are strings.
+    long = F.length("piece") > common_chars
+    top = top.select(F.when(~long, F.col("piece")).alias("piece"), F.when(long, F.unhex(F.sha2("piece", 256))).alias("digest"), "tokens")
+    known = spark.sparkContext.broadcast({r.piece if r.digest is None else bytes(r.digest): r.tokens for r in top.collect()})
+
+    def sent_as(piece: str):
+        return piece if len(piece) <= common_chars else hashlib.sha256(piece.encode()).digest()
 
     def count(batches):
         names: list[str] = []
@@ -121,7 +130,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, common: int = 100_000, common_
             for i, j, now, doc, piece, n in _frequencies(batch.column("text"), tokenizer):
                 if now is not names:
                     names, sizes = now, np.zeros(0, np.int64)
-                new = [known.value.get(p, -1) for p in names[len(sizes) :]]
+                new = [known.value.get(sent_as(p), -1) for p in names[len(sizes) :]]
                 sizes = np.concatenate((sizes, np.array(new, np.int64)))
                 tokens = sizes[piece]
                 rest = tokens < 0

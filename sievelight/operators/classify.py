@@ -14,6 +14,7 @@ from sievelight.operators.metrics import evaluate_loss_accuracy
 
 HIDDEN = (64, 32)
 _VECTOR = "_features"
+ROWS_PER_TASK = 1 << 14  # worth a task of their own in each iteration
 
 
 def fuse_features(df: DataFrame, columns: Sequence[str], out: str = "fused") -> DataFrame:
@@ -27,6 +28,21 @@ def _ready(df: DataFrame, features: str, label: str | None = None) -> DataFrame:
     return df if label is None else df.withColumn("_label", F.col(label).cast("double"))
 
 
+def _on_all_cores(rows: DataFrame) -> DataFrame:
+    """The persisted rows, dealt out anew if fewer tasks than cores hold them and each core gets enough.
+
+    Files say little about the work of training: a small file of narrow rows is one task in every iteration.
+    """
+    tasks = rows.select(F.spark_partition_id().alias("p")).groupBy("p").count().agg(F.count(F.lit(1)), F.sum("count")).first()
+    wanted = min((tasks[1] or 0) // ROWS_PER_TASK, rows.sparkSession.sparkContext.defaultParallelism)
+    if wanted <= tasks[0]:
+        return rows
+    spread = rows.repartition(wanted).persist()
+    spread.count()
+    rows.unpersist()
+    return spread
+
+
 def train_classifier(
     train: DataFrame,
     features: str,
@@ -42,7 +58,7 @@ def train_classifier(
     Training is distributed: each iteration sums gradients over the partitions. ``epochs`` bounds the
     iterations. The vectors stay in memory, or on disk where they do not fit, for the iterations.
     """
-    rows = _ready(train, features, label).select(_VECTOR, "_label").persist()
+    rows = _on_all_cores(_ready(train, features, label).select(_VECTOR, "_label").persist())
     if linear:
         stage = LogisticRegression(
             featuresCol=_VECTOR, labelCol="_label", family="multinomial", maxIter=epochs,

@@ -144,7 +144,7 @@ def fit(
 
     Bounds of the sample: about ``per_language`` texts of each of the ``most_languages`` most frequent
     languages, chosen by a hash of the key; a text arrives as at most ``BUCKETS`` counts. The counts of
-    languages cover all rows.
+    languages cover all rows. The sample meets in one task; only the model goes to the driver.
     """
     labelled = small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     labelled = labelled.filter(F.col("lang").isNotNull() & (remainder(F.col("doc_id")) != 0) & _has_letter())
@@ -178,11 +178,34 @@ def fit(
     got = sample.select("_chance", "lang", "text").mapInArrow(
         count, "chance double, lang string, buckets binary, counts binary"
     )
-    got = sorted((r["chance"], r["lang"], bytes(r["buckets"]), bytes(r["counts"])) for r in got.collect() if r["buckets"])
-    if not got:
+
+    def learn(batches):
+        got = sorted(
+            (r["chance"], r["lang"], r["buckets"], r["counts"]) for batch in batches for r in batch.to_pylist() if r["buckets"]
+        )
+        if got:
+            rows = [(np.frombuffer(b, np.uint16), np.frombuffer(n, np.uint32)) for _, _, b, n in got]
+            model = train(rows, [r[1] for r in got], size, rounds, seed, miss)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([model.languages], pa.list_(pa.string())),
+                    pa.array([model.table.tobytes()], pa.binary()),
+                    pa.array([model.bias.tobytes()], pa.binary()),
+                    pa.array([model.temperature], pa.float64()),
+                    pa.array([model.least], pa.float64()),
+                ],
+                names=["languages", "table", "bias", "temperature", "least"],
+            )
+
+    learnt = got.repartition(1).mapInArrow(
+        learn, "languages array<string>, table binary, bias binary, temperature double, least double"
+    ).collect()
+    if not learnt:
         return None
-    rows = [(np.frombuffer(b, np.uint16), np.frombuffer(n, np.uint32)) for _, _, b, n in got]
-    return train(rows, [r[1] for r in got], size, rounds, seed, miss)
+    (r,) = learnt
+    table = np.frombuffer(r["table"], np.float32).reshape(BUCKETS, len(r["languages"]))
+    bias = np.frombuffer(r["bias"], np.float32)
+    return Model(list(r["languages"]), table, bias, r["temperature"], r["least"])
 
 
 def _has_letter() -> Column:
